@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at a time, unless a single text is longer.
@@ -73,25 +73,30 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hash_rank(df: DataFrame, groups: list[str], key: Column, parts: int, out: str = "rank") -> DataFrame:
-    """Adds a gapless rank from 0 in each group, in order of a hash of key and key itself.
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order; sorts x in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
-    The order falls into `parts` equal ranges of the hash. Ranks inside a (group, range) come from a window
-    of that small group; the counts of the ranges before it are joined on. So a group of any size spreads over
-    all ranges, and both passes see the same order, as it depends on values alone.
+
+def hash_prefix(df: DataFrame, groups: list[str], key: Column, parts: int, weight: Column, out: str = "before") -> DataFrame:
+    """Adds the sum of weight over the rows before a row in its group, in order of a hash of key and key itself.
+
+    The order falls into `parts` equal ranges of the hash. Sums inside a (group, range) come from a window over
+    that small part; the sums of the ranges before it are joined on. So a group of any size spreads over all ranges,
+    and both passes see the same order, as it depends on values alone. With weight 1 this is a gapless rank from 0.
+    Rows whose key is equal follow one another in any order. df should be a stored table: it is read twice.
     """
     h = F.xxhash64(key)
-    work = df.withColumn("_h", h).withColumn("_part", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(parts)).cast("int"))
-    from pyspark.sql import Window
-
-    counts = work.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*groups, "_part").orderBy("_h", *[key])
-    ranked = work.withColumn("_in", F.row_number().over(inner) - 1)
-    on = [ranked["_part"] == before["_p"], *[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = ranked.join(before, cond)
-    return joined.withColumn(out, F.col("_before") + F.col("_in")).drop("_h", "_part", "_p", "_in", "_before", *[f"_g{i}" for i in range(len(groups))])
+    names = [f"_g{i}" for i in range(len(groups))]
+    work = df.withColumns({"_h": h, "_w": weight.cast("long")}).withColumn("_part", F.expr(f"cast(pmod(shiftrightunsigned(_h, 20), {parts}) as int)"))
+    sums = work.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col("_part").alias("_p")).agg(F.sum("_w").alias("_n"))
+    ahead = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead_of = sums.select(*names, "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inner = Window.partitionBy(*groups, "_part").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = work.withColumn("_in", F.coalesce(F.sum("_w").over(inner), F.lit(0)))
+    on = summed["_part"] == ahead_of["_p"]
+    for g, n in zip(groups, names, strict=True):
+        on &= summed[g].eqNullSafe(ahead_of[n])
+    joined = summed.join(ahead_of, on)
+    return joined.withColumn(out, F.col("_ahead") + F.col("_in")).drop("_h", "_w", "_part", "_p", "_in", "_ahead", *names)

@@ -13,6 +13,7 @@ As the width is fixed, id j is found at bit j * bits; a position among all ids i
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pixelith.llm.token_counts import SPACE
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 16
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
 #: Words as byte-level vocabularies of this family cut them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,7 +77,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
