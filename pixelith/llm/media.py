@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelith.llm.common import arrow_limits
 
@@ -103,7 +104,7 @@ def media_columns(docs: DataFrame, *, text: str = "text", extra: tuple[str, ...]
     if media:
         schema = schema.add("media", "binary")
     if arrays:
-        schema = schema.add("print_codes", "array<int>").add("print_times", "array<int>")
+        schema = schema.add("print_codes", T.ArrayType(T.IntegerType())).add("print_times", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, distinct, passes, text_buffers
+from pixelith.llm.common import arrow_limits, distinct, passes, stored, text_buffers
 
-BITS = 20
-SIZES = (4, 5, 6)
+BITS = 22
+SIZES = (4, 6, 8)
+#: Tasks that count the training sample's places; each sends two counts for each place.
+BAG_TASKS = 12
 #: Bytes as the features see them: letters in lower case, bytes beyond ASCII as they are, all else a space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +57,7 @@ def places(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             for k in range(n):
                 packed |= code[k : k + m] << np.uint64(8 * k)
             whole = owner[:m] == owner[n - 1 :]
-            hashed = ((packed ^ np.uint64(n << 56)) * MULTIPLY) >> np.uint64(64 - BITS)
+            hashed = ((packed + np.uint64(n)) * MULTIPLY) >> np.uint64(64 - BITS)
             yield hashed[whole].astype(np.int64), owner[:m][whole]
 
 
@@ -92,25 +94,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, l2: float = 0.02, rounds: int = 60, least: float = 0.02, common: float = 4.0) -> Model:
-    """The model from bags of places and 0/1 labels. Places in no more than one text of either class have no weight.
+def ratios(c1: np.ndarray, c0: np.ndarray, n1: float, n0: float, *, alpha: float = 1.0, least: float = 12.0) -> np.ndarray:
+    """The log-count ratio of each place, from its document frequencies among n1 texts of label 1 and n0 of label 0.
 
-    common: a place takes part if it is this many times as frequent in one class as in the other. least: smaller
-    weights become 0. One class only, or no rows: a constant score on that class's side.
+    0, so out of the model, where the frequencies tell too little: a log-likelihood ratio (G squared) below `least`.
+    """
+    n = max(n1 + n0, 1)
+    share = (c1 + c0) / n
+
+    def part(seen, due):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0)
+
+    told = 2 * (part(c1, share * n1) + part(c0, share * n0) + part(n1 - c1, (1 - share) * n1) + part(n0 - c0, (1 - share) * n0))
+    r = np.log((c1 + alpha) / (n1 + 2 * alpha)) - np.log((c0 + alpha) / (n0 + 2 * alpha))
+    r[told < least] = 0
+    return r
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, l2: float = 0.02, rounds: int = 200, least: float = 0.02) -> Model:
+    """The model from bags of places, 0/1 labels and the places' ratios. Weights below `least` of the largest become 0.
+
+    One class only, or no rows: a constant score on that class's side.
     """
     size = 1 << BITS
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(size), 4.0 if len(labels) and labels[0] else -4.0)
-    flat, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    c1 = np.bincount(flat, labels[owner], minlength=size)
-    c0 = np.bincount(flat, 1 - labels[owner], minlength=size)
-    r = np.log((c1 + alpha) / (n1 + 2 * alpha)) - np.log((c0 + alpha) / (n0 + 2 * alpha))
-    r[(c1 + c0 < 2) | (np.abs(r) < np.log(common))] = 0
+    flat, owner = np.concatenate(bags).astype(np.int64), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     hit = r[flat] != 0
-    used, column = np.unique(flat[hit], return_inverse=True)
-    row, value = owner[hit], r[flat[hit]]
+    flat, row = flat[hit], owner[hit]
+    used, column = np.unique(flat, return_inverse=True)
+    value = r[flat]
     # full-batch gradient steps with Nesterov's momentum on the mean logistic loss, classes weighted alike
     cost = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(used)), 0.0
@@ -128,7 +143,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, l2: f
     weight = np.zeros(size)
     weight[used] = w * r[used]
     weight[np.abs(weight) < least * np.abs(weight).max()] = 0
-    z = np.bincount(owner, weight[flat], minlength=len(labels))
+    z = np.bincount(row, weight[flat], minlength=len(labels))
     # the bias half way between the classes, at the fewest errors on the sample
     order = np.argsort(z, kind="stable")
     zs, ys = z[order], labels[order]
@@ -140,27 +155,50 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, l2: f
     return Model((weight * scale), -cut * scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: int = 4000, clean_rows: int = 8000, label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: int = 2500, clean_rows: int = 5000, label: str = "toxic") -> Model:
     """Fits on a sample of the labelled rows that `allowed` admits: at most toxic_rows and clean_rows of each class.
 
     The sample is the first rows in order of a hash of doc_id, so it is the same in every run. A label that is
     null or not 0 or 1 is left out; of several labels of a document the greatest holds; a document without a text
-    counts as an empty one. The driver holds the sample's features: some 6 KB a row at 3 KB of text.
+    counts as an empty one. Executors make the sample's bags and count its places; the driver holds the counts
+    and those parts of the bags whose places have a ratio.
     """
     arrow_limits(docs.sparkSession)
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(allowed).groupBy("doc_id").agg(F.max(label).alias("_y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64("doc_id")
     some = known.where("_y = 1").orderBy(order, "doc_id").limit(toxic_rows).union(known.where("_y = 0").orderBy(order, "doc_id").limit(clean_rows))
     # toxic_rows + clean_rows rows of two numbers: a bounded broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "_y", "text")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "_y", "text").repartition(BAG_TASKS, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [b.astype("<u4").tobytes() for b in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y").cast(pa.int32()), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, counts = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), "<u2")
+        for batch in batches:
+            for y, b in zip(batch.column("y").to_pylist(), batch.column("bag"), strict=True):
+                n[y] += 1
+                counts[y][np.frombuffer(b.as_buffer(), "<u4")] += 1
+        if n.any():
+            yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    bags = stored(chosen.mapInArrow(bag, "doc_id long, y int, bag binary"), "toxicity-bags")
+    n0, n1, c = 0, 0, np.zeros((2, 1 << BITS), np.int64)
+    for row in bags.mapInArrow(count, "n0 long, n1 long, counts binary").toLocalIterator():
+        n0, n1 = n0 + row.n0, n1 + row.n1
+        c += np.frombuffer(row.counts, "<u2").reshape(2, -1)
+    r = ratios(c[1], c[0], n1, n0)
+    sent = docs.sparkSession.sparkContext.broadcast(r != 0)
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [b[sent.value[b]].tobytes() for b in (np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("bag"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(kept, pa.binary())], names=["doc_id", "y", "bag"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(b.as_py(), "<u4").astype(np.int64) for b in rows.column("bag")], rows.column("y").to_numpy())
+    rows = bags.mapInArrow(telling, bags.schema).toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(b.as_py(), "<u4") for b in rows.column("bag")] or [np.zeros(0, "<u4")], rows.column("y").to_numpy(), r)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
