@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelith.llm import media, mixing, neighbours, pieces, sharding, token_counts, token_files, toxicity
+from pixelith.llm import media, mixing, near_duplicates, neighbours, pieces, sharding, token_counts, token_files, toxicity
 from pixelith.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
