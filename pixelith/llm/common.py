@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are stored: it does so for objects collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of a string column: the UTF-8 bytes as one array, and n + 1 offsets. A null is empty."""
     if isinstance(column, pa.ChunkedArray):

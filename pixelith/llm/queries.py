@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelith.llm import media, mixing, near_duplicates, neighbours, pieces, sharding, token_counts, token_files, toxicity
+from pixelith.llm import media, mixing, near_duplicates, neighbours, pieces, sharding, suffix_dedup, token_counts, token_files, toxicity
 from pixelith.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model learns from: crc32 of doc_id as text is a multiple of 5."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
