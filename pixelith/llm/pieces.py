@@ -255,8 +255,9 @@ def decode(coded: DataFrame, model_path: str, *, ids: str = "ids", out: str = "d
     return coded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns `extra`, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode() in one pass.
+def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Per row: the columns `extra`, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode() in one pass;
+    with_ids: the ids, too.
 
     A null text is an empty one: 0 tokens, the digest of nothing. Repeated rows stay. Only the text and the columns
     `extra` are read, so others may have any name. No shuffle; a worker holds a slice of a batch, 2 M characters or
@@ -265,18 +266,23 @@ def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: t
     arrow_limits(docs.sparkSession)
     kept = docs.select(*extra, F.col(text).alias("_text"))
     schema = kept.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_path)
         for batch in batches:
-            n, coded, back = [], [], []
+            n, coded, back, all_ids = [], [], [], []
             for some in slices(batch.column("_text").to_pylist()):
                 got = p.encode(some)
                 ids = [np.frombuffer(raw, "<u4") for raw, _ in got]
                 n += [len(x) for x in ids]
+                all_ids += ids if with_ids else []
                 coded += [hashlib.sha256(text.encode()).hexdigest() for _, text in got]
                 back += [hashlib.sha256(x).hexdigest() for x in p.decode(ids)]
             columns = [*[batch.column(x) for x in extra], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                columns.append(pa.array([x.astype(np.int32) for x in all_ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(run, schema)
