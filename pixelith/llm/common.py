@@ -49,6 +49,20 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def squeeze(raw) -> bytes:
+    """Compressed bytes with their size before them."""
+    raw = bytes(raw)
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+
+
+def expand(raw) -> bytes:
+    raw = memoryview(raw)
+    return CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of a string column: the UTF-8 bytes as one array, and n + 1 offsets. A null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,12 +6,14 @@
    i; a bin keeps its smallest. In round BINS + i all elements go to bin i. Most sets fill all bins in the first few
    rounds, and any set does by the last. Two sets agree in a coordinate with their similarity as probability.
 3. ROWS coordinates make a band. Documents that agree in a band share a bucket: at similarity 0.8 all bands differ
-   with a chance of (1 - 0.8 ** 4) ** 32 < 5e-8.
+   with a chance of (1 - 0.8 ** 5) ** 40 < 2e-7.
 4. Each member of a bucket is held against the bucket's smallest one, the hub, by intersecting the full sets; hubs
-   with many members are salted. Components of the links found so far follow.
-5. Buckets whose members are then in several components are settled exactly: their members are cut into blocks of
-   BLOCK, each pair of blocks meets in one task, and all pairs of different components are compared there. So no
-   candidate pair is left out, no task holds more than two blocks, and no pairs are emitted but links.
+   with many members are salted. Components of the links found so far follow. Then the members outside a bucket's
+   largest component are held against HUBS members of it, and the components grow again.
+5. Buckets whose members are then in several components are settled exactly. The largest component's members fall
+   into blocks, so do the others; each block of others meets each block in one task, which compares all pairs of
+   different components. Pairs inside the largest component need no look, so that most buckets cost little more than
+   their members. No candidate pair is left out, no task holds more than two blocks, and links alone are emitted.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, distinct, mixed, passes, stored, text_buffers
+from pixelith.llm.common import arrow_limits, distinct, expand, mixed, passes, released, squeeze, stored, text_buffers
 from pixelith.llm.graph import components
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
-#: Members of a hub that one task verifies; members of a bucket in a block.
-HUB_TASK, BLOCK = 500, 100
+#: Members of a hub that one task verifies; members of the largest component tried in step 4; members in a block.
+HUB_TASK, HUBS, BLOCK = 500, 8, 400
+#: Bands in a range; members of a bucket in one batch that make a crowd.
+RANGE, CROWD = 250_000, 3
 #: The bytes between words, and A-Z to a-z (fixed values).
 GAP = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
@@ -93,7 +97,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     out = np.full(len(sets) * BINS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(2 * BINS):
         h = mixed(e, 1000 + i)
-        bins = (h >> np.uint64(52)).astype(np.int64) % BINS if i < BINS else np.full(len(e), i - BINS)
+        bins = (h >> np.uint64(48)).astype(np.int64) % BINS if i < BINS else np.full(len(e), i - BINS)
         np.minimum.at(out, owner * BINS + bins, np.uint64(i << 48) | (h & np.uint64((1 << 48) - 1)))
         empty = (out.reshape(-1, BINS) == np.iinfo(np.uint64).max).any(axis=1)
         keep = empty[owner]
@@ -140,56 +144,122 @@ def sketched(docs: DataFrame, text: str, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands binary")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFrame:
-    """node, set (binary) of the documents in nodes."""
+def texts_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """node, text (compressed) of the documents in nodes. Texts take less room than their sets, which tasks make anew.
+
+    The join is a merge at every size of nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in shingle_sets(batch.column("_text"), k)], pa.binary())], names=["node", "set"])
+            texts = ((x.as_py() or "").encode() for x in batch.column("_text"))
+            packed = [squeeze(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "text"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("_text")).join(nodes, "node", "left_semi")
-    return some.mapInArrow(run, "node long, set binary")
+    small = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("_text")).mapInArrow(run, "node long, text binary")
+    return small.join(nodes.hint("merge"), "node", "left_semi")
 
 
-def split_bands(reps: DataFrame) -> DataFrame:
-    """node, bucket: one row for each band."""
+def sets_in(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """The sets of a column of compressed texts."""
+    texts = [expand(x.as_buffer()) for x in column]
+    return list(shingle_sets(pa.array(texts, pa.binary()), k)) if texts else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(keys)], names=["node", "bucket"])
 
-    return reps.mapInArrow(run, "node long, bucket long")
+def in_company(reps: DataFrame, parts: int) -> DataFrame:
+    """(bucket, node) for the buckets that hold several nodes: reps are node, bands.
 
+    Bands go to `parts` ranges of the key, packed, one row for each batch and range, and most stay there, being alone.
+    A bucket with CROWD members or more in a batch is known to hold several, so they are told at once, from any part,
+    and the bucket's own range gets one of them only: no range gathers a bucket with a large share of all rows.
+    """
 
-def verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64)
+            nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            size = np.diff(np.append(np.flatnonzero(first), len(keys)))
+            crowd = np.repeat(size >= CROWD, size)
+            sent = first | ~crowd
+            k, n, told = keys[sent], nodes[sent], crowd[sent]
+            part = ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            at = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            rows = [(b, False, k[x:y].tobytes(), n[x:y].tobytes(), told[x:y].tobytes()) for b, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+            if crowd.any():
+                rows.append((int(nodes[0]) % parts, True, keys[crowd].tobytes(), nodes[crowd].tobytes(), b""))
+            kinds = {"part": pa.int32(), "direct": pa.bool_(), "keys": pa.binary(), "nodes": pa.binary(), "told": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    def meet(group: pa.Table) -> pa.Table:
+        direct = group.column("direct").to_pylist()
+
+        def whole(name: str, kind: type, which: bool) -> np.ndarray:
+            return np.frombuffer(b"".join(x.as_py() for x, d in zip(group.column(name), direct, strict=True) if d == which), kind)
+
+        keys, nodes, told = whole("keys", np.uint64, False), whole("nodes", np.int64, False), whole("told", bool, False)
+        order = np.argsort(keys, kind="stable")
+        keys, nodes, told = keys[order], nodes[order], told[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        shared &= ~told
+        return pa.table({"bucket": np.concatenate([keys[shared], whole("keys", np.uint64, True)]).view(np.int64), "node": np.concatenate([nodes[shared], whole("nodes", np.int64, True)])})
+
+    packed = reps.mapInArrow(deal, "part int, direct boolean, keys binary, nodes binary, told binary")
+    return packed.groupBy("part").applyInArrow(meet, "bucket long, node long")
+
+
+def verify_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (node, hub) that are linked, as (a, b). A hub with many members meets them in several tasks."""
     size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_TASK).cast("int").alias("salts"))
     members = pairs.join(size, "hub").select("node", "hub", F.expr("pmod(xxhash64(node), salts)").cast("int").alias("salt"))
-    members = members.join(sets, "node").select("hub", "salt", "node", "set")
-    hubs = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
-    hubs = hubs.select(F.col("hub").alias("h"), F.col("salt").alias("s"), "hub_set")
+    members = members.join(texts, "node").select("hub", "salt", "node", "text")
+    hubs = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    hubs = hubs.select(F.col("hub").alias("h"), F.col("salt").alias("s"), "hub_text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("hub_set")]
-        hit = [any(linked(h, np.frombuffer(s.as_buffer(), np.uint64), percent) for h in heads) for s in left.column("set")]
+        heads = sets_in(right.column("hub_text"), k)
+        hit = [any(linked(h, s, percent) for h in heads) for s in sets_in(left.column("text"), k)]
         good = left.filter(pa.array(hit, pa.bool_()))
         return pa.table({"a": good.column("hub"), "b": good.column("node")})
 
     return members.groupBy("hub", "salt").cogroup(hubs.groupBy("h", "s")).applyInArrow(run, "a long, b long")
 
 
-def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (bucket, node, root, blocks, block) of a bucket that have different roots."""
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))))
-    dealt = members.withColumn("pair", pair).select("bucket", "pair.lo", "pair.hi", "node", "root", "block").join(sets, "node")
+def largest(tagged: DataFrame) -> DataFrame:
+    """Of the buckets (bucket, node, root) with several components: the largest one's root, as main; the numbers of
+    its members and of the others; HUBS of its members, the same ones in like buckets. Combines before its shuffles."""
+    hubs = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("node"))).alias(f"h{i}") for i in range(HUBS)]
+    parts = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), *hubs)
+    best = F.max(F.struct("n", "root", *[f"h{i}" for i in range(HUBS)])).alias("best")
+    whole = parts.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1")
+    return whole.select("bucket", F.col("best.root").alias("main"), F.col("best.n").alias("inside"), (F.col("members") - F.col("best.n")).alias("outside"), F.array(*[F.col(f"best.h{i}.node") for i in range(HUBS)]).alias("hubs"))
+
+
+def verify_blocks(tagged: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in each of the buckets, all pairs of them but those that
+    other links of the same task have joined. tagged: bucket, node, root; buckets: see largest()."""
+    rows = tagged.join(buckets.select(F.col("bucket").alias("_b"), "main", F.ceil(F.col("inside") / BLOCK).cast("int").alias("nin"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("nout")), F.col("bucket") == F.col("_b"))
+    inner = rows.where("root = main").withColumn("at", F.expr("cast(pmod(xxhash64(node), nin) as int)"))
+    outer = rows.where("root <> main").withColumn("at", F.expr("cast(pmod(xxhash64(node), nout) as int)"))
+    # tasks: (0, inner block, outer block), and (1, lower, upper) for two outer blocks
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("nout") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("at").alias("lo"), j.alias("hi"), F.lit(0).alias("side")))
+    with_inner = F.transform(F.sequence(F.lit(0), F.col("nin") - 1), lambda j: F.struct(F.lit(0).alias("kind"), j.alias("lo"), F.col("at").alias("hi"), F.lit(1).alias("side")))
+    with_each = F.transform(F.sequence(F.lit(0), F.col("nout") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least("at", j).alias("lo"), F.greatest("at", j).alias("hi"), (j < F.col("at")).cast("int").alias("side")))
+    columns = ["bucket", "node", "root"]
+    dealt = inner.select(*columns, F.explode(with_outer).alias("t")).unionByName(outer.select(*columns, F.explode(F.concat(with_inner, with_each)).alias("t")))
+    dealt = dealt.select(*columns, "t.*").join(texts, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, block = group.column("node").to_pylist(), group.column("block").to_pylist()
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
-        root = group.column("root").to_pylist()
+        nodes, root, side = (group.column(c).to_pylist() for c in ("node", "root", "side"))
+        own = sets_in(group.column("text"), k)
+        crossed = group.column("kind")[0].as_py() == 0 or group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
         up: dict[int, int] = {r: r for r in root}
 
         def top(r: int) -> int:
@@ -204,8 +274,8 @@ def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             for j in order[x + 1 :]:
                 if 100 * len(own[i]) < percent * len(own[j]):
                     break  # all later sets are larger still
-                if lo != hi and block[i] == block[j]:
-                    continue  # met in the block's own task
+                if crossed and side[i] == side[j]:
+                    continue
                 p, q = top(root[i]), top(root[j])
                 if p != q and linked(own[j], own[i], percent):
                     up[max(p, q)] = min(p, q)
@@ -213,7 +283,7 @@ def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("bucket", "kind", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -230,22 +300,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tex
     rows = stored(sketched(docs, text, shingle), "sketches")
     usable = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     reps = stored(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.bands").alias("bands")), "classes")
-    cells = stored(split_bands(reps.select("node", "bands")), "bands")
-    buckets = cells.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("n > 1")
+    parts = max(1, -(-reps.count() * BANDS // RANGE))
+    cells = stored(in_company(reps.select("node", "bands"), parts), "bands")
+    released(docs.sparkSession)
+    buckets = cells.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who"))
     buckets = stored(buckets.groupBy("hub", "n", "who").agg(F.min("bucket").alias("bucket")), "buckets")  # equal buckets once
     shared = stored(cells.join(buckets.select("bucket", "hub", "n"), "bucket"), "shared")
     pairs = stored(shared.where("node <> hub").select("node", "hub").distinct(), "pairs")
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    sets = stored(sets_of(docs, nodes, text, shingle), "sets")
-    links = stored(verify_stars(pairs, sets, percent), "links")
+    texts = stored(texts_of(docs, nodes, text), "texts")
+    released(docs.sparkSession)
+    links = stored(verify_stars(pairs, texts, shingle, percent), "links")
     found = components(links)
-    tagged = shared.where("n > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = tagged.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1")
-    open_ = stored(tagged.join(split.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket").withColumn("block", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int")), "open")
+    released(docs.sparkSession)
+    many = stored(shared.where("n > 2").select("bucket", "node"), "many")
+
+    def tag(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tagged = stored(many.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "tagged")
+        buckets = stored(largest(tagged), "open")
+        return tagged, buckets
+
+    tagged, open_ = tag(found)
+    if not open_.isEmpty():
+        others = tagged.join(open_.select(F.col("bucket").alias("_b"), "main", "hubs"), F.col("bucket") == F.col("_b")).where("root <> main")
+        pairs = stored(others.select("node", F.explode("hubs").alias("hub")).distinct(), "pairs")
+        links = stored(links.unionByName(verify_stars(pairs, texts, shingle, percent)), "links")
+        found = components(links)
+        released(docs.sparkSession)
+        tagged, open_ = tag(found)
     if not open_.isEmpty():
-        more = stored(verify_blocks(open_, sets, percent), "links")
+        more = stored(verify_blocks(tagged, open_, texts, shingle, percent), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
+        released(docs.sparkSession)
     by_class = reps.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("_root"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("_root", "doc_id"), "doc_id"))
