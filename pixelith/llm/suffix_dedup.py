@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelith.llm.common import arrow_limits, mixed, released, stored, text_buffers
+from pixelith.llm.common import arrow_limits, expand, mixed, released, squeeze, stored, text_buffers
 
 GRAM = 24
 #: Bytes of text in a chunk, unless a document is longer; bytes of text for each bucket.
@@ -211,23 +211,11 @@ def settle(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little")
 
 
-ZSTD = "zstd"
-
-
-def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=ZSTD, asbytes=True)
-
-
-def expand(raw) -> bytes:
-    raw = memoryview(raw)
-    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec=ZSTD, asbytes=True)
-
-
-def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ("doc_id",), out: str = "kept", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ("doc_id",), out: str = "kept", prefix: str = "", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
     """Removes each byte that a string of `length` bytes covers which also starts in a document with a smaller key.
 
     Per row: the columns `extra`; n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes that
-    stay; and `out`: the text that stays. There a removed run leaves whole characters: bytes of a character that is
+    stay; and `out`: the text that stays (all of these with `prefix` before them). There a removed run leaves whole characters: bytes of a character that is
     cut go as well. Strings are judged on the input and overlap. A null text is empty; texts shorter than `length`
     stay whole; a null key is larger than any other, and rows of equal key don't remove from each other. length is
     from GRAM + 1 to 2 * GRAM + 200. A worker holds one chunk, so a single document takes about 100 times its bytes.
@@ -257,7 +245,7 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
             other = whole.column("_rest").combine_chunks()
             other = other.chunk(0) if isinstance(other, pa.ChunkedArray) else other
             number += 1
-            row = [pa.array([number - 1], pa.int64()), pa.array([len(raw)], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (whole.column("_key").to_numpy(), ends, raw, sizes, ahead)], pa.ListArray.from_arrays(pa.array([0, len(other)], pa.int32()), other)]
+            row = [pa.array([number - 1], pa.int64()), pa.array([len(raw)], pa.int64()), *[pa.array([squeeze(x.tobytes())], pa.binary()) for x in (whole.column("_key").to_numpy(), ends, raw, sizes, ahead)], pa.ListArray.from_arrays(pa.array([0, len(other)], pa.int32()), other)]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         for batch in batches:
@@ -277,7 +265,7 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
 
     def loaded(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, dict]]:
         for i in range(batch.num_rows):
-            part = {c: batch.column(c)[i].as_buffer() for c in ("keys", "ends", "raw", "sizes", "ahead")}
+            part = {c: expand(batch.column(c)[i].as_buffer()) for c in ("keys", "ends", "raw", "sizes", "ahead")}
             one = Chunk(np.frombuffer(part["keys"], np.int64), np.frombuffer(part["ends"], np.int64), np.frombuffer(part["raw"], np.uint8), np.frombuffer(part["sizes"], np.uint8), np.frombuffer(part["ahead"], np.uint8), length)
             yield one, {c: batch.column(c)[i] for c in batch.schema.names if c not in part}
 
@@ -396,7 +384,7 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
         assert n == len(values)
         return pa.RecordBatch.from_arrays(columns, names=result.names)
 
-    result = T.StructType([*carried, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField(out, T.StringType())])
+    result = T.StructType([*carried, *[T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField(prefix + "kept_sha256", T.StringType()), T.StructField(prefix + out, T.StringType())])
     some = chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS) if total.c > SAMPLE_CHUNKS else chunks
     grams = [np.frombuffer(r.grams, f"S{GRAM}") for r in some.select(*slim).mapInArrow(sampled, "grams binary").toLocalIterator()]
     grams = np.sort(np.concatenate(grams)) if grams else np.zeros(0, f"S{GRAM}")
