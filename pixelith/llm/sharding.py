@@ -24,7 +24,7 @@ SPLIT = 1
 #: Groups in a range, and the most ranges there are.
 RANGE_GROUPS, MOST_RANGES = 50_000, 10_000
 #: How much the dimensions weigh in the dot product: bytes, tokens, rows.
-WEIGHTS = np.array([1.0, 0.25, 0.25])
+WEIGHTS = np.array([1.0, 0.1, 0.1])
 
 
 def pack(vectors: np.ndarray, bins: int, capacity: np.ndarray | None = None) -> np.ndarray:
