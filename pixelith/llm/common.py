@@ -13,13 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at a time, unless a single text is longer.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(name: str, taken) -> str:
+    """name, with underscores before it until no column in `taken` begins with it."""
+    while any(t.lower().startswith(name.lower()) for t in taken):
+        name = "_" + name
+    return name
+
+
 def arrow_limits(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Bounds the Arrow batches that go to Python workers by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

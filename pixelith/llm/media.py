@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelith.llm.common import arrow_limits
+from pixelith.llm.common import arrow_limits, spare
 
 #: Payloads are filled up to a multiple of this.
 UNIT = 64
@@ -99,8 +99,9 @@ def media_columns(docs: DataFrame, *, text: str = "text", extra: tuple[str, ...]
     Only text and `extra` are read. A batch is bounded by Arrow's limits, a transform by FRAMES.
     """
     arrow_limits(docs.sparkSession)
-    kept = docs.select(*extra, F.col(text).cast("binary").alias("_raw"))
-    schema = kept.drop("_raw").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+    column = spare("_raw", extra)
+    kept = docs.select(*extra, F.col(text).cast("binary").alias(column))
+    schema = kept.drop(column).schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
     if media:
         schema = schema.add("media", "binary")
     if arrays:
@@ -109,7 +110,7 @@ def media_columns(docs: DataFrame, *, text: str = "text", extra: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for raw in batch.column("_raw"):
+            for raw in batch.column(column):
                 raw = raw.as_py() or b""
                 stored = to_wav(payload(raw))
                 back, _ = from_wav(stored)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import hash_prefix, stored
+from pixelith.llm.common import hash_prefix, spare, stored
 
 #: Sources with a weight of their own; all others together are one more.
 MOST_SOURCES = 256
@@ -152,8 +152,9 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, **
 
     Rows whose doc_id repeats are told apart by position in neither table, so they share the first one's place.
     """
-    order = mix(docs, weights, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "offset")).alias("_at"))
-    joined = docs.join(order, docs["doc_id"].eqNullSafe(order["doc_id"])).drop(order["doc_id"])
+    at, key = spare("_at", docs.columns), spare("_key", docs.columns)
+    order = mix(docs, weights, **options).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "offset")).alias(at))
+    joined = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key)))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(parts, "_at").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+    return joined.repartitionByRange(parts, at).sortWithinPartitions(at, "doc_id").select(*docs.columns)

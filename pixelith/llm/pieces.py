@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelith.llm.common import arrow_limits
+from pixelith.llm.common import arrow_limits, spare
 
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 300_000
 NONE = np.int64(1) << 40
 UNDER = "▁"
 #: Runs of spaces longer than this give up whole pieces of 16 first.
@@ -264,8 +264,9 @@ def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: t
     one longer text, and KNOWN_CHUNKS chunks.
     """
     arrow_limits(docs.sparkSession)
-    kept = docs.select(*extra, F.col(text).alias("_text"))
-    schema = kept.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    column = spare("_text", extra)
+    kept = docs.select(*extra, F.col(text).alias(column))
+    schema = kept.drop(column).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -273,7 +274,7 @@ def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: t
         p = pieces(model_path)
         for batch in batches:
             n, coded, back, all_ids = [], [], [], []
-            for some in slices(batch.column("_text").to_pylist()):
+            for some in slices(batch.column(column).to_pylist()):
                 got = p.encode(some)
                 ids = [np.frombuffer(raw, "<u4") for raw, _ in got]
                 n += [len(x) for x in ids]

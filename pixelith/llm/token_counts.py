@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,10 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits
+from pixelith.llm.common import arrow_limits, spare
 
 #: White space as Unicode's property White_Space has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
+#: Characters beyond the Latin, Greek and Cyrillic blocks: some became letters in one version of Unicode or another.
+LATER = re.compile("[^\x00-\u052f]").search
 #: Words that a worker's memory of counts holds before it starts anew.
 KNOWN_WORDS = 600_000
 
@@ -103,12 +106,24 @@ class Counter:
             pairs[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
         self.words = WordCounts([vocab[c] for c in names], [vocab[c + end] for c in names], pairs)
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)).findall
+        self.path, self.library, self.bytes = path, None, {c: b for b, c in enumerate(names)}
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, specials)))
         self.marks = specials
 
+    def by_library(self, text: str) -> int:
+        """With the library's own cutting into words, for texts with characters whose classes differ between versions."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum(self.words[bytes(map(self.bytes.__getitem__, w)).decode()] for w, _ in parts)
+
     def plain(self, text: str) -> int:
         if not text.isascii():
+            if LATER(text):
+                return self.by_library(text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # case is mapped character by character, without final forms
@@ -136,13 +151,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", li
     One pass, no shuffle; a worker holds one Arrow batch and at most KNOWN_WORDS words.
     """
     arrow_limits(docs.sparkSession)
-    kept = docs.select(*extra, F.col(text).alias("_text"))
-    schema = kept.drop("_text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    column = spare("_text", extra)
+    kept = docs.select(*extra, F.col(text).alias(column))
+    schema = kept.drop(column).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(column).to_pylist()
             n = [c.count(x) for x in texts]
             columns = [batch.column(x) for x in extra]
             columns += [pa.array([len(x.encode()) if x else 0 for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, distinct, passes, stored, text_buffers
+from pixelith.llm.common import arrow_limits, distinct, passes, spare, stored, text_buffers
 
 BITS = 22
 SIZES = (4, 6, 8)
@@ -211,14 +211,15 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
     arrow_limits(spark)
     sent = spark.sparkContext.broadcast((model.weight.astype(np.float32), float(model.bias)))
     names = [c for c in (keep if keep is not None else docs.columns) if c != out]
-    work = docs.select(*names, F.col(text).alias("_scored"))
-    schema = work.drop("_scored").schema.add(out, "double")
+    column = spare("_scored", names)
+    work = docs.select(*names, F.col(text).alias(column))
+    schema = work.drop(column).schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = sent.value
         m = Model(weight, bias)
         for batch in batches:
-            z = m.scores(batch.column("_scored"))
+            z = m.scores(batch.column(column))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(z, pa.float64())], names=schema.names)
 
     return work.mapInArrow(run, schema)
