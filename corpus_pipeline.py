@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelith.llm import mixing, near_duplicates, pieces, suffix_dedup, toxicity
-from pixelith.llm.common import stored, table
+from pixelith.llm.common import spare, stored, table
 from pixelith.llm.queries import held_out
 
 #: Repeated passages are cut from this many bytes on: 50 words have as many, and a spare.
@@ -21,14 +21,16 @@ PASSAGE = 100
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; learned from the labelled ones that op4 learns from. A null text stays."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    out = spare("_toxicity", docs.columns)
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group: five-word shingles, a similarity of 0.8 or more. A null doc_id stays."""
     found = near_duplicates.near_duplicates(docs, shingle=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    name = spare("_kept", docs.columns)
+    kept = found.where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +39,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes: a document that is made of such passages stays with the text that is left, if need be an empty one.
     A null text stays null.
     """
-    cut = suffix_dedup.dedup(docs, length=PASSAGE, extra=tuple(docs.columns), out="_kept")
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
+    prefix = spare("_cut_", docs.columns)
+    cut = suffix_dedup.dedup(docs, length=PASSAGE, extra=tuple(docs.columns), prefix=prefix)
+    changed, kept = F.col(prefix + "n_removed") > 0, F.col(prefix + "kept")
+    new = {"text": F.when(changed, kept).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumns(new).select(*docs.columns)
 
 
