@@ -13,6 +13,7 @@ As the width is fixed, id j is found at bit j * bits; a position among all ids i
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -22,12 +23,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelith.llm.common import arrow_limits, shared_dir
-from pixelith.llm.token_counts import SPACE
+from pixelith.llm.token_counts import LATER, SPACE, byte_symbols
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 16
@@ -35,6 +37,15 @@ KNOWN_WORDS = 800_000
 #: Words as byte-level vocabularies of this family cut them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The letters, numbers and white space of Latin-1 (fixed values).
+LATIN = ("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0")
+
+
+def in_classes(letters: str, numbers: str, space: str) -> str:
+    """PATTERN with these classes written out."""
+    to = {r"[^\s\p{L}\p{N}]": f"[^{space}{letters}{numbers}]", r"\p{L}": f"[{letters}]", r"\p{N}": f"[{numbers}]", r"\s": f"[{space}]", r"\S": f"[^{space}]"}
+    return re.sub("|".join(map(re.escape, to)), lambda m: to[m[0]], PATTERN)
+
 
 def width(vocabulary: int) -> int:
     """The fewest bits that hold the ids 0 to vocabulary - 1."""
@@ -68,22 +79,24 @@ def unpack(packed: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 
 class WordIds(dict):
-    """The ids of a word as little-endian u32 bytes; a word not known yet goes through the tokenizer."""
+    """The ids of a word as little-endian u32 bytes; a word not known yet goes through the library's model."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, model):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokens = model.tokenize
+        self.names = dict(enumerate(byte_symbols()))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = [t.id for t in self.tokens(word.encode().decode("latin-1").translate(self.names))]
         out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them, a word at a time: its merges never cross words."""
+    """Ids of texts as the tokenizers library gives them: its merges never cross words, so each word is encoded once,
+    as long as a worker's memory of KNOWN_WORDS lasts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,15 +105,23 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]]) + 1
-        self.words = WordIds(self.tokenizer)
-        pattern = PATTERN.replace(r"[^\s", "[^" + SPACE).replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-        self.find = regex.compile(pattern).findall
+        self.words = WordIds(self.tokenizer.model)
+        self.any = regex.compile(in_classes(r"\p{L}", r"\p{N}", SPACE)).findall
+        self.latin = re.compile(in_classes(*LATIN)).findall
         self.marks = [t["content"] for t in spec["added_tokens"]]
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text without characters from LATER; the faster module splits what is Latin-1."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any(text)
+        return self.latin(text)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(m in text for m in self.marks):  # the library cuts these out first
+        if any(m in text for m in self.marks) or (not text.isascii() and LATER(text)):  # the library's own cutting
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, self.find(text)))
 
@@ -137,10 +158,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "t
     spark = docs.sparkSession
     arrow_limits(spark)
     cuts = ranges(docs, "doc_id", range_rows)
-    part = F.lit(0)
-    if cuts:  # the number of splitters at or below doc_id, by binary search over the literal array
-        lookup = F.pandas_udf(lambda s: _search(s, cuts), "int")
-        part = lookup(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
+    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))).alias("_key"))
+    if cuts:
+        splits = [-float("inf"), *map(float, cuts), float("inf")]
+        work = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").transform(work).withColumn("part", F.col("_part").cast("int"))
+    else:
+        work = work.withColumn("part", F.lit(0))
+    work = work.select("part", "doc_id", "text")
     bits = width(encoder(tokenizer_path).vocabulary)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("sum_before", T.LongType()), *BLOCKS.fields])
 
@@ -178,7 +202,6 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "t
             yield flush()
 
     ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("sum_before", pa.int64()), ("block_start", pa.int64()), ("n_ids", pa.int32()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("packed", pa.binary())])
-    work = docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = len(cuts) + 1
     coded = work.repartition(n, "part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, schema)
     first = f"{path}-parts"
@@ -193,12 +216,6 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "t
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def _search(s, cuts):
-    import pandas as pd
-
-    return pd.Series(np.searchsorted(np.array(cuts, np.int64), s.to_numpy(np.int64), "right").astype(np.int32))
-
-
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a file set, as written."""
     return spark.read.schema(BLOCKS).parquet(path)
