@@ -1 +1,15 @@
 """A Spark-native analytics engine for raster images and their tag metadata."""
+
+from __future__ import annotations
+
+import os
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder the driver runs in."""
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])

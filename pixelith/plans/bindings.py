@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelith import reachable
+
 HEIGHT, WIDTH = 100, 64
 BOUNDS = (0, 0, HEIGHT, WIDTH)
 BLACK, WHITE = 64.0, 4095.0
@@ -17,6 +19,7 @@ GRID = 1048576.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
