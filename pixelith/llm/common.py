@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelith import reachable
+
 #: Bytes of text that one numpy pass holds at a time, unless a single text is longer.
 PASS_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +32,7 @@ def spare(name: str, taken) -> str:
 
 def arrow_limits(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Bounds the Arrow batches that go to Python workers by rows and bytes."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelith import reachable
 from pixelith.llm.common import hash_prefix, spare, stored
 
 #: Sources with a weight of their own; all others together are one more.
@@ -119,6 +120,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     MOST_SOURCES + 1, and the phases, no more.
     """
     session = docs.sparkSession
+    reachable(session)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     slim = stored(docs.select("doc_id", F.col(source).alias("source"), size.alias("size")), "mix-rows")
     sums = slim.groupBy("source").agg(F.sum("size").alias("bytes"))

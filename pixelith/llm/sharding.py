@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelith import reachable
 from pixelith.llm.common import hash_prefix, stored
 
 #: A group above 1 / (shards * SPLIT) of the whole in any dimension is split.
@@ -64,6 +65,7 @@ def shard(docs: DataFrame, shards: int = 8, *, text: str = "text") -> DataFrame:
     but for split groups. Slots are gapless from 0 in each shard, in order of a hash of doc_id; an empty table gives
     an empty one. What crosses the driver is 3 sums and at most MOST_RANGES * shards vectors.
     """
+    reachable(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("_text"), F.size(F.split(t, " ")).cast("long").alias("n_words"))
     slim = stored(slim, "shard-rows")
