@@ -95,48 +95,40 @@ def with_band(scanlines: DataFrame, halo: int) -> DataFrame:
 
 
 def demosaic(scanlines: DataFrame, pattern: Sequence[int] = (0, 1, 1, 2)) -> DataFrame:
-    """Bilinear interpolation of a 2 x 2 mosaic: image_id, row, r, g, b, arrays of the scanline.
+    """Bilinear interpolation of a 2 x 2 mosaic of scanlines: image_id, row, col, r, g, b.
 
     A sample of the wanted colour is copied. Else it is the mean of the neighbours of that colour among eight,
     weight 0.5 beside and 0.25 across. Beyond an edge the image goes on with period 2. Colours depend on the parity
-    of row and column; images have 2 rows and columns at least.
+    of row and column; images have 2 rows and columns at least. Each scanline meets the two beside it as arrays and is
+    then exploded, so the arithmetic on neighbours is compiled with what follows it.
     """
     if len(pattern) != 4:
         raise ValueError("a pattern has 2 x 2 colours")
     line = Window.partitionBy("image_id", "band").orderBy("row")
     work = with_band(scanlines.select("image_id", "row", "vals"), 1)
-    work = work.withColumns({"_up": F.lag("vals").over(line), "_down": F.lead("vals").over(line)})
-    work = work.where("own").withColumns({"_up": F.coalesce("_up", "_down"), "_down": F.coalesce("_down", "_up")})
-
-    def colour(wanted: int, row_odd: int) -> Column:
-        def one(v: Column, i: Column) -> Column:
-            size = F.size("vals")
-            cols = {-1: F.when(i == 0, 1).otherwise(i - 1), 0: i, 1: F.when(i == size - 1, size - 2).otherwise(i + 1)}
-            lines = {-1: F.col("_up"), 0: F.col("vals"), 1: F.col("_down")}
-
-            def at_parity(col_odd: int) -> Column:
-                if pattern[row_odd * 2 + col_odd] == wanted:
-                    return v.cast("double")
-                total, weight = None, 0.0
-                for dr in (-1, 0, 1):
-                    for dc in (-1, 0, 1):
-                        if (dr or dc) and pattern[((row_odd + dr) % 2) * 2 + (col_odd + dc) % 2] == wanted:
-                            w = 0.25 if dr and dc else 0.5
-                            part = F.element_at(lines[dr], (cols[dc] + 1).cast("int")) * F.lit(w)
-                            total, weight = part if total is None else total + part, weight + w
-                return F.lit(0.0) if total is None else total / F.lit(weight)
-
-            return F.when(i % 2 == 0, at_parity(0)).otherwise(at_parity(1))
-
-        return F.transform("vals", one)
-
-    planes = [F.when(F.col("row") % 2 == 0, colour(c, 0)).otherwise(colour(c, 1)).alias(n) for c, n in enumerate("rgb")]
-    return work.select("image_id", "row", *planes)
-
-
-def wide_of_lines(lines: DataFrame) -> DataFrame:
-    """image_id, row, col, r, g, b of the arrays that demosaic() returns."""
-    return lines.select("image_id", "row", F.posexplode(F.arrays_zip("r", "g", "b")).alias("col", "p")).select("image_id", "row", "col", "p.*")
+    work = work.withColumns({"_up": F.lag("vals").over(line), "_down": F.lead("vals").over(line)}).where("own")
+    work = work.select("image_id", "row", "vals", F.coalesce("_up", "_down").alias("_up"), F.coalesce("_down", "_up").alias("_down"), F.size("vals").alias("_n"), F.posexplode("vals").alias("col", "_v"))
+    col, size = F.col("col"), F.col("_n")
+    cols = {-1: F.when(col == 0, 1).otherwise(col - 1), 0: col, 1: F.when(col == size - 1, size - 2).otherwise(col + 1)}
+    lines = {-1: F.col("_up"), 0: F.col("vals"), 1: F.col("_down")}
+
+    def colour(wanted: int, row_odd: int, col_odd: int) -> Column:
+        if pattern[row_odd * 2 + col_odd] == wanted:
+            return F.col("_v").cast("double")
+        total, weight = None, 0.0
+        for dr in (-1, 0, 1):
+            for dc in (-1, 0, 1):
+                if (dr or dc) and pattern[((row_odd + dr) % 2) * 2 + (col_odd + dc) % 2] == wanted:
+                    w = 0.25 if dr and dc else 0.5
+                    part = F.get(lines[dr], cols[dc]) * F.lit(w)
+                    total, weight = part if total is None else total + part, weight + w
+        return F.lit(0.0) if total is None else total / F.lit(weight)
+
+    def by_parity(wanted: int) -> Column:
+        rows = [F.when(col % 2 == 0, colour(wanted, odd, 0)).otherwise(colour(wanted, odd, 1)) for odd in (0, 1)]
+        return F.when(F.col("row") % 2 == 0, rows[0]).otherwise(rows[1])
+
+    return work.select("image_id", "row", "col", *[by_parity(c).alias(n) for c, n in enumerate("rgb")])
 
 
 def is_green(row: Column, col: Column, phase: int) -> Column:
@@ -176,20 +168,23 @@ def fix_list(pixels: DataFrame, points: Sequence[tuple[int, int]] = (), rects: S
 
 
 def undo_differences(scanlines: DataFrame, step: int, bits: int) -> DataFrame:
-    """Horizontal prediction: each sample is the sum of those `step` apart before it, modulo 2 ** bits."""
-    wrap = (1 << bits) - 1
+    """Horizontal prediction: each sample is the sum of those `step` apart before it, modulo 2 ** bits.
+
+    A running sum over an array is no built-in function, so each batch of scanlines takes one pass of numpy.
+    """
 
-    def undone(vals: Column) -> Column:
-        # `step` running sums side by side, carried through one pass over the row
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).alias("i"))
+    @F.pandas_udf("array<bigint>")
+    def undone(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda v: _lanes(np.asarray(v, np.int64), step) & ((1 << bits) - 1) if v is not None else None)
 
-        def add(acc: Column, v: Column) -> Column:
-            before = F.when(acc["i"] >= step, F.element_at(acc["out"], F.greatest(acc["i"] - step + 1, F.lit(1)))).otherwise(F.lit(0).cast("bigint"))
-            return F.struct(F.concat(acc["out"], F.array((v.cast("bigint") + before).bitwiseAND(F.lit(wrap).cast("bigint")))).alias("out"), (acc["i"] + 1).alias("i"))
+    return scanlines.withColumn("vals", undone("vals"))
 
-        return F.aggregate(vals, start, add, lambda acc: acc["out"])
 
-    return scanlines.withColumn("vals", undone(F.col("vals")))
+def _lanes(v: np.ndarray, step: int) -> np.ndarray:
+    out = v.copy()
+    for lane in range(step):
+        out[lane::step] = np.cumsum(v[lane::step])
+    return out
 
 
 def undo_differences_pixels(pixels: DataFrame, step: int, bits: int) -> DataFrame:

@@ -111,7 +111,7 @@ def demosaic_sql(pattern: list[int]) -> str:
 
 
 def demosaiced(spark: SparkSession, sf: str, pattern=(0, 1, 1, 2)) -> DataFrame:
-    return R.wide_of_lines(R.demosaic(dyadic_lines(spark, sf), pattern))
+    return R.demosaic(dyadic_lines(spark, sf), pattern)
 
 
 for _name, _pattern in {"demosaic_bilinear": [0, 1, 1, 2], "demosaic_grbg": [1, 0, 2, 1], "demosaic_bggr": [2, 1, 1, 0]}.items():

@@ -107,8 +107,8 @@ def stage_3(px: DataFrame, meta: Meta, bounds: tuple[int, int, int, int]) -> tup
     if meta.photometric == CFA and meta.mosaic:
         if tuple(meta.mosaic["dims"]) != (2, 2):
             raise NotYet("a mosaic other than 2 x 2")
-        lines = R.demosaic(R.to_scanlines(px), meta.mosaic["pattern"])
-        px = R.wide_of_lines(lines).select("image_id", "row", "col", F.posexplode(F.array("r", "g", "b")).alias("plane", "value"))
+        wide = R.demosaic(R.to_scanlines(px), meta.mosaic["pattern"])
+        px = wide.select("image_id", "row", "col", F.posexplode(F.array("r", "g", "b")).alias("plane", "value"))
     elif meta.photometric not in (LINEAR, RGB):
         raise NotYet(f"photometric {meta.photometric}")
     return O.apply(px, O.parse(meta.opcodes[3]), bounds, 3) if 3 in meta.opcodes else (px, bounds)

@@ -58,7 +58,7 @@ def test_hue_sat_map_identity(spark):
 @pytest.mark.parametrize("size", [(8, 8), (9, 7), (130, 4)])
 def test_demosaic_of_grey_is_grey(spark, size):
     lines = R.to_scanlines(pixels(spark, np.full(size, 0.25)))
-    wide = R.wide_of_lines(R.demosaic(lines))
+    wide = R.demosaic(lines)
     for c in "rgb":
         assert (grid(wide, c) == 0.25).all()
 
@@ -66,7 +66,7 @@ def test_demosaic_of_grey_is_grey(spark, size):
 def test_demosaic_red_only(spark):
     image = np.zeros((6, 6))
     image[::2, ::2] = 1.0
-    wide = R.wide_of_lines(R.demosaic(R.to_scanlines(pixels(spark, image))))
+    wide = R.demosaic(R.to_scanlines(pixels(spark, image)))
     assert (grid(wide, "r") == 1).all() and (grid(wide, "b") == 0).all()
 
 
