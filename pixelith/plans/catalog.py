@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pixelith.functions import colour
 from pixelith.functions import pixels as P
 from pixelith.operators import raster as R
+from pixelith.operators import tone
 from pixelith.operators import warp as W
 from pixelith.plans import bindings as B
 from pixelith.plans.bindings import BLACK, BOUNDS, DYADIC, GRID, HEIGHT, LINEAR, MOSAIC, PLANES, RGB, WHITE, WIDTH, arr, d, q, sql_q
@@ -302,7 +303,8 @@ def hue_sat_sql(nh: int, ns: int, nv: int) -> str:
 
 on_rgb("rgb_hsv", lambda c: list(P.rgb_to_hsv(*c)), ["h", "s", "v"], extra=HSV_SQL, names="hsv", source="h3")
 for _name, _div in {"hue_sat_map_2d": (6, 4, 1), "hue_sat_map_3d": (6, 3, 4)}.items():
-    on_rgb(_name, lambda c, div=_div: P.hue_sat_map(c, deltas(*div), div), ["r", "g", "b"], extra=hue_sat_sql(*_div), source="k4", scale=1e5)
+    _sql = WITH + RGB + hue_sat_sql(*_div) + " SELECT l_orderkey, l_linenumber, " + ", ".join(f"{sql_q(x, 1e5)} AS {x}" for x in "rgb") + " FROM k4"
+    query(_sql, _name)(lambda spark, sf, div=_div: tone.hue_sat(B.rgb(spark, sf), deltas(*div), div).select(*KEY, *[q(F.col(c), 1e5).alias(c) for c in "rgb"]))
 
 
 def curve_sql(x: str) -> str:

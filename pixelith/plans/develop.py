@@ -16,6 +16,7 @@ from pixelith import reachable
 from pixelith.functions import colour
 from pixelith.functions import pixels as P
 from pixelith.operators import raster as R
+from pixelith.operators import tone
 from pixelith.plans import opcodes as O
 from pixelith.sources import metadata, tiff
 
@@ -142,11 +143,11 @@ def picture(px: DataFrame, meta: Meta, bounds: tuple[int, int, int, int], *, spa
     wide = R.to_wide(px)
     p = meta.profile
     rgb = P.matrix([F.col(c) for c in "rgb"], camera_matrix(meta, space).tolist(), p.get("exposure", 0.0))
+    wide = wide.select("image_id", "row", "col", *[c.alias(n) for c, n in zip(rgb, "rgb", strict=True)])
     dims, tables = p.get("hue_dims") or [], [s["hue"] for s in p.get("calibrations", []) if s["hue"]]
     if len(dims) >= 2 and tables and len(tables[0]) == 3 * math.prod(dims):
         flat = tables[0]
-        rgb = P.hue_sat_map(rgb, [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)], (dims[0], dims[1], dims[2] if len(dims) > 2 else 1))
-    wide = wide.select("image_id", "row", "col", *[c.alias(n) for c, n in zip(rgb, "rgb", strict=True)])
+        wide = tone.hue_sat(wide, [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)], (dims[0], dims[1], dims[2] if len(dims) > 2 else 1))
     if p.get("curve"):
         wide = wide.select("image_id", "row", "col", *[P.tone_curve(F.col(c), p["curve"]).alias(c) for c in "rgb"])
     if hdr:
