@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -46,14 +47,49 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Paths of the tables stored inside each scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Inside scratch() the table goes when that ends, unless keep is set.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, so what leaves it must be stored with keep, or be no DataFrame."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            removed(spark, path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder, for results that are read after a function has returned: Spark deletes its
+    files once nothing refers to them, where spark.cleaner.referenceTracking.cleanCheckpoints says so."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps whose results are stored: it does so for objects collected."""
     gc.collect()

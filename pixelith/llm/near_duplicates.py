@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, distinct, expand, mixed, passes, released, squeeze, stored, text_buffers
+from pixelith.llm.common import arrow_limits, distinct, expand, mixed, passes, released, scratch, squeeze, stored, text_buffers
 from pixelith.llm.graph import components
 
 BINS, ROWS = 200, 5
@@ -297,6 +297,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tex
     miss. Texts are read twice, the second time only those in a bucket with others.
     """
     arrow_limits(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return stored(_near_duplicates(docs, shingle, percent, text), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     rows = stored(sketched(docs, text, shingle), "sketches")
     usable = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     reps = stored(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.bands").alias("bands")), "classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, mixed, stored
+from pixelith.llm.common import arrow_limits, mixed, scratch, stored
 
 #: Vectors that fit an index (widths, the neighbours' distance): the first in order of a hash of vec_id.
 SAMPLE = 4000
@@ -97,6 +97,12 @@ def search(base: DataFrame, is_query, *, k: int = 10, vector: str = "embedding",
     """
     spark = base.sparkSession
     arrow_limits(spark, 4000)
+    with scratch(spark):
+        return _search(base, is_query, k, vector, tables, share)
+
+
+def _search(base: DataFrame, is_query, k: int, vector: str, tables: int, share: float) -> DataFrame:
+    spark = base.sparkSession
     rows = usable(base.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")), "v")
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -192,7 +198,7 @@ def search(base: DataFrame, is_query, *, k: int = 10, vector: str = "embedding",
         place = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = stored(results(asked, False), "neighbours")
+    first = stored(results(asked, False), "neighbours", keep=True)
     enough = min(k, lengths.n - 1)
     short = asked.join(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough), F.col("vec_id") == F.col("query_id"), "left_anti")
     if short.isEmpty():

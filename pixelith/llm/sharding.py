@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelith import reachable
-from pixelith.llm.common import hash_prefix, stored
+from pixelith.llm.common import hash_prefix, scratch, stored
 
 #: A group above 1 / (shards * SPLIT) of the whole in any dimension is split.
 SPLIT = 1
@@ -66,6 +66,11 @@ def shard(docs: DataFrame, shards: int = 8, *, text: str = "text") -> DataFrame:
     an empty one. What crosses the driver is 3 sums and at most MOST_RANGES * shards vectors.
     """
     reachable(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return stored(_shard(docs, shards, text), "shards", keep=True)
+
+
+def _shard(docs: DataFrame, shards: int, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("_text"), F.size(F.split(t, " ")).cast("long").alias("n_words"))
     slim = stored(slim, "shard-rows")
