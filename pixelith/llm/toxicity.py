@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelith.llm.common import arrow_limits, distinct, passes, spare, stored, text_buffers
+from pixelith.llm.common import arrow_limits, distinct, expand, passes, scratch, spare, squeeze, stored, text_buffers
 
 BITS = 22
 SIZES = (4, 6, 8)
-#: Tasks that count the training sample's places; each sends two counts for each place.
-BAG_TASKS = 12
+#: Tasks that count the training sample's places, and the parts that the places fall into to be added up.
+BAG_TASKS, SLICES = 12, 16
 #: Bytes as the features see them: letters in lower case, bytes beyond ASCII as they are, all else a space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -75,11 +75,22 @@ def features(column: pa.Array) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """weight: of each place (r times the regression's coefficient); bias."""
+    """weight: of each place (r times the regression's coefficient), 32-bit; bias."""
 
     weight: np.ndarray
     bias: float
 
+    def sparse(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """The places that weigh something, their weights, the bias: what goes to the executors."""
+        used = np.flatnonzero(self.weight)
+        return used, self.weight[used], float(self.bias)
+
+    @classmethod
+    def dense(cls, used: np.ndarray, weights: np.ndarray, bias: float) -> Model:
+        whole = np.zeros(1 << BITS, np.float32)
+        whole[used] = weights
+        return cls(whole, bias)
+
     def scores(self, column: pa.Array) -> np.ndarray:
         raw, ends = text_buffers(column)
         z = np.full(len(ends) - 1, self.bias)
@@ -100,15 +111,18 @@ def ratios(c1: np.ndarray, c0: np.ndarray, n1: float, n0: float, *, alpha: float
     0, so out of the model, where the frequencies tell too little: a log-likelihood ratio (G squared) below `least`.
     """
     n = max(n1 + n0, 1)
-    share = (c1 + c0) / n
+    out = np.zeros(len(c1), np.float32)
 
     def part(seen, due):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0)
 
-    told = 2 * (part(c1, share * n1) + part(c0, share * n0) + part(n1 - c1, (1 - share) * n1) + part(n0 - c0, (1 - share) * n0))
-    r = np.log((c1 + alpha) / (n1 + 2 * alpha)) - np.log((c0 + alpha) / (n0 + 2 * alpha))
-    r[told < least] = 0
-    return r
+    for at in range(0, len(c1), 1 << 18):  # a part at a time: the driver's memory is small
+        a, b = c1[at : at + (1 << 18)].astype(np.float64), c0[at : at + (1 << 18)].astype(np.float64)
+        share = (a + b) / n
+        told = 2 * (part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0))
+        r = np.log((a + alpha) / (n1 + 2 * alpha)) - np.log((b + alpha) / (n0 + 2 * alpha))
+        out[at : at + (1 << 18)] = np.where(told < least, 0, r)
+    return out
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, l2: float = 0.02, rounds: int = 200, least: float = 0.02) -> Model:
@@ -119,7 +133,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, l2: float
     size = 1 << BITS
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(size), 4.0 if len(labels) and labels[0] else -4.0)
+        return Model(np.zeros(size, np.float32), 4.0 if len(labels) and labels[0] else -4.0)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     flat, owner = np.concatenate(bags).astype(np.int64), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     hit = r[flat] != 0
@@ -140,19 +154,19 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, l2: float
         m = k / (k + 3)
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
-    weight = np.zeros(size)
+    weight = np.zeros(size, np.float32)
     weight[used] = w * r[used]
     weight[np.abs(weight) < least * np.abs(weight).max()] = 0
     z = np.bincount(row, weight[flat], minlength=len(labels))
     # the bias half way between the classes, at the fewest errors on the sample
     order = np.argsort(z, kind="stable")
     zs, ys = z[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(ys * 0.5 / n1)]) + np.concatenate([np.cumsum(((1 - ys) * 0.5 / n0)[::-1])[::-1], [0]])
+    errors = np.concatenate([[0], np.cumsum(ys)]) + np.concatenate([np.cumsum((1 - ys)[::-1])[::-1], [0]])
     edges = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     cut = edges[best].mean() if np.ptp(best) == len(best) - 1 else edges[best[len(best) // 2]]
     scale = 6.0 / max(1e-9, np.percentile(np.abs(z - cut), 50))
-    return Model((weight * scale), -cut * scale)
+    return Model((weight * scale).astype(np.float32), float(-cut * scale))
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: int = 2500, clean_rows: int = 5000, label: str = "toxic") -> Model:
@@ -160,10 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: in
 
     The sample is the first rows in order of a hash of doc_id, so it is the same in every run. A label that is
     null or not 0 or 1 is left out; of several labels of a document the greatest holds; a document without a text
-    counts as an empty one. Executors make the sample's bags and count its places; the driver holds the counts
-    and those parts of the bags whose places have a ratio.
+    counts as an empty one. Executors make the sample's bags, count its places and find those that tell the classes
+    apart; the driver holds these, and their parts of the bags.
     """
     arrow_limits(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, allowed, toxic_rows, clean_rows, label)
+
+
+def _train(docs: DataFrame, labels: DataFrame, allowed: Column, toxic_rows: int, clean_rows: int, label: str) -> Model:
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64("doc_id")
     some = known.where("_y = 1").orderBy(order, "doc_id").limit(toxic_rows).union(known.where("_y = 0").orderBy(order, "doc_id").limit(clean_rows))
@@ -176,25 +195,32 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, counts = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), "<u2")
+        counts = np.zeros((2, 1 << BITS), "<u2")
         for batch in batches:
             for y, b in zip(batch.column("y").to_pylist(), batch.column("bag"), strict=True):
-                n[y] += 1
                 counts[y][np.frombuffer(b.as_buffer(), "<u4")] += 1
-        if n.any():
-            yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "counts": pa.array([counts.tobytes()], pa.binary())})
+        if counts.any():
+            parts = counts.reshape(2, SLICES, -1)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([squeeze(parts[:, i].tobytes()) for i in range(SLICES)], pa.binary())})
+
+    def tell(group: pa.Table) -> pa.Table:
+        c = sum(np.frombuffer(expand(x.as_buffer()), "<u2").reshape(2, -1).astype(np.int32) for x in group.column("counts"))
+        r = ratios(c[1], c[0], n.get(1, 0), n.get(0, 0))
+        used = np.flatnonzero(r)
+        return pa.table({"place": used + group.column("slice")[0].as_py() * len(r), "r": r[used]})
 
     bags = stored(chosen.mapInArrow(bag, "doc_id long, y int, bag binary"), "toxicity-bags")
-    n0, n1, c = 0, 0, np.zeros((2, 1 << BITS), np.int64)
-    for row in bags.mapInArrow(count, "n0 long, n1 long, counts binary").toLocalIterator():
-        n0, n1 = n0 + row.n0, n1 + row.n1
-        c += np.frombuffer(row.counts, "<u2").reshape(2, -1)
-    r = ratios(c[1], c[0], n1, n0)
-    sent = docs.sparkSession.sparkContext.broadcast(r != 0)
+    n = {row.y: row["count"] for row in bags.groupBy("y").count().collect()}
+    # the places that tell the classes apart, some thousands to some hundred thousands
+    told = bags.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(tell, "place long, r float").toArrow()
+    r = np.zeros(1 << BITS, np.float32)
+    r[told.column("place").to_numpy()] = told.column("r").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(r != 0))
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tells = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            kept = [b[sent.value[b]].tobytes() for b in (np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("bag"))]
+            kept = [b[tells[b]].tobytes() for b in (np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("bag"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(kept, pa.binary())], names=["doc_id", "y", "bag"])
 
     rows = bags.mapInArrow(telling, bags.schema).toArrow().sort_by("doc_id")
@@ -204,20 +230,19 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, toxic_rows: in
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds the model's score of each whole text, 0 to 1; a null text scores as an empty one.
 
-    Other columns pass through (keep: only those). Nothing but the text enters. The model, 8 MB at any size of the
-    corpus, goes to each task; most places weigh 0 and drop out before repeats are removed.
+    Other columns pass through (keep: only those). Nothing but the text enters. The places that weigh something, some
+    thousands at any size of the corpus, go to each task; all others drop out before repeats are removed.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    sent = spark.sparkContext.broadcast((model.weight.astype(np.float32), float(model.bias)))
+    sent = spark.sparkContext.broadcast(model.sparse())
     names = [c for c in (keep if keep is not None else docs.columns) if c != out]
     column = spare("_scored", names)
     work = docs.select(*names, F.col(text).alias(column))
     schema = work.drop(column).schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = sent.value
-        m = Model(weight, bias)
+        m = Model.dense(*sent.value)
         for batch in batches:
             z = m.scores(batch.column(column))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(z, pa.float64())], names=schema.names)
