@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelith.llm import mixing, near_duplicates, pieces, suffix_dedup, toxicity
-from pixelith.llm.common import spare, stored, table
+from pixelith.llm.common import scratch, spare, stored, table
 from pixelith.llm.queries import held_out
 
 #: Repeated passages are cut from this many bytes on: 50 words have as many, and a spare.
@@ -71,6 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    with scratch(spark):
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}", keep=i == len(STAGES) - 1)
     return docs
