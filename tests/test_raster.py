@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pixelith.functions import colour
 from pixelith.functions import pixels as P
 from pixelith.operators import raster as R
+from pixelith.operators import tone
 from pixelith.operators import warp as W
 
 
@@ -55,6 +56,16 @@ def test_hue_sat_map_identity(spark):
             assert values(spark, *P.hue_sat_map([F.lit(x) for x in rgb], same, shape)) == pytest.approx(rgb)
 
 
+@pytest.mark.parametrize("shape", [(6, 4, 1), (5, 3, 3), (1, 2, 1)])
+def test_hue_tables_as_steps_and_as_one_expression(spark, shape):
+    rng = np.random.default_rng(1)
+    deltas = [(rng.normal(0, 5), *rng.uniform(0.5, 1.5, 2)) for _ in range(shape[0] * shape[1] * shape[2])]
+    df = spark.createDataFrame([(i, *map(float, rng.random(3))) for i in range(50)] + [(50, 0.0, 0.0, 0.0), (51, 1.0, 1.0, 1.0), (52, -0.1, 0.5, 2.0)], "id int, r double, g double, b double")
+    steps = tone.hue_sat(df, deltas, shape).orderBy("id").collect()
+    whole = df.select("id", *[c.alias(n) for c, n in zip(P.hue_sat_map([F.col(c) for c in "rgb"], deltas, shape), "rgb", strict=True)]).orderBy("id").collect()
+    assert np.allclose(np.array(steps), np.array(whole))
+
+
 @pytest.mark.parametrize("size", [(8, 8), (9, 7), (130, 4)])
 def test_demosaic_of_grey_is_grey(spark, size):
     lines = R.to_scanlines(pixels(spark, np.full(size, 0.25)))
