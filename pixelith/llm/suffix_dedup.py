@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelith.llm.common import arrow_limits, expand, mixed, released, squeeze, stored, text_buffers
+from pixelith.llm.common import arrow_limits, checkpointed, expand, mixed, released, squeeze, text_buffers
 
 GRAM = 24
 #: Bytes of text in a chunk, unless a document is longer; bytes of text for each bucket.
@@ -39,22 +40,31 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
+@lru_cache(2)
+def _powers(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(out)
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes at each place."""
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """The first n powers modulo 2 ** 64; kept for the next call up to a chunk's size."""
+    size = CHUNK + (1 << 16)
+    return _powers(size, base)[:n] if n <= size else _powers.__wrapped__(n, base)
+
+
+def gram_hashes(raw: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the GRAM bytes at each place, or at those in `at`."""
     n = len(raw)
     if n < GRAM:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE[raw] * powers(n), out=sums[1:])
-        return mixed((sums[GRAM:] - sums[:-GRAM]) * powers(n - GRAM + 1, INVERSE))
+        if at is None:
+            return mixed((sums[GRAM:] - sums[:-GRAM]) * powers(n - GRAM + 1, INVERSE))
+        return mixed((sums[at + GRAM] - sums[at]) * powers(n, INVERSE)[at])
 
 
 def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +137,13 @@ class Chunk:
 
     def __init__(self, doc_ids: np.ndarray, ends: np.ndarray, raw: np.ndarray, sizes: np.ndarray, ahead: np.ndarray, length: int):
         self.doc_ids, self.ends, self.raw, self.length = doc_ids, ends, raw, length
-        self.starts = start_places(ends, length)
         self.sizes = sizes.astype(np.int64)
-        self.at = np.cumsum(self.sizes) - self.sizes  # of each run's first start among the starts
-        self.first = self.starts[self.at] if len(sizes) else np.zeros(0, np.int64)
+        at = np.cumsum(self.sizes) - self.sizes  # of each run's first start among all starts
+        total = np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - length + 1, 0))])
+        self.doc = np.searchsorted(total, at, "right") - 1
+        self.first = at + (ends[:-1] - total[:-1])[self.doc] if len(at) else np.zeros(0, np.int64)
         self.anchor = self.first + ahead
-        self.doc = np.searchsorted(ends, self.first, "right") - 1
-        self.hash = gram_hashes(raw)[self.anchor] >> np.uint64(16)
+        self.hash = gram_hashes(raw, self.anchor) >> np.uint64(16)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes of the anchors, and of each whether two documents of this chunk have it."""
@@ -150,10 +160,15 @@ class Chunk:
         width = self.length - GRAM + 1
         span = width - 1 + self.length
         out = np.zeros((len(chosen), -(-(span + 2) // 8) * 8), np.uint8)
-        lead, last = self.anchor[chosen] - self.first[chosen], self.anchor[chosen] - self.first[chosen] - self.sizes[chosen] + 1
-        at = self.anchor[chosen, None] - (width - 1) + np.arange(span)
-        inside = (at >= self.first[chosen, None]) & (at < (self.anchor[chosen] - last + self.length)[:, None])
-        out[:, :span] = np.where(inside, self.raw[np.clip(at, 0, len(self.raw) - 1)], 0)
+        if not len(chosen):
+            return out
+        lead = self.anchor[chosen] - self.first[chosen]
+        last = lead - self.sizes[chosen] + 1
+        padded = np.zeros(len(self.raw) + span + width, np.uint8)
+        padded[width - 1 : width - 1 + len(self.raw)] = self.raw
+        out[:, :span] = np.lib.stride_tricks.sliding_window_view(padded, span)[self.anchor[chosen]]
+        place = np.arange(span, dtype=np.int16)
+        out[:, :span][(place < (width - 1 - lead).astype(np.int16)[:, None]) | (place >= (width - 1 - last + self.length).astype(np.int16)[:, None])] = 0
         out[:, span], out[:, span + 1] = lead, last
         return out
 
@@ -269,8 +284,7 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
             one = Chunk(np.frombuffer(part["keys"], np.int64), np.frombuffer(part["ends"], np.int64), np.frombuffer(part["raw"], np.uint8), np.frombuffer(part["sizes"], np.uint8), np.frombuffer(part["ahead"], np.uint8), length)
             yield one, {c: batch.column(c)[i] for c in batch.schema.names if c not in part}
 
-    chunks = stored(work.mapInArrow(chunked, schema), "suffix-chunks")
-    arrow_limits(spark, 4, 4)
+    chunks = checkpointed(work.mapInArrow(chunked, schema))
     total = chunks.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).first()
     buckets = max(1, -(-int(total.n or 0) // bucket_bytes))
     slim = ["chunk", "keys", "ends", "raw", "sizes", "ahead"]
@@ -350,17 +364,19 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
                 for a in more["decided"].as_py() or []:
                     some = order[at[a["bucket"]] : at[a["bucket"] + 1]]
                     bits[some] = np.unpackbits(np.frombuffer(expand(a["bits"]), np.uint8).reshape(len(some), -1), axis=1, count=width, bitorder="little")
-                gone = np.zeros(len(one.starts), bool)
+                cover = np.zeros(len(one.raw) + 1, np.int32)
                 if len(runs_):
                     whole = one.doc_ids[one.doc[runs_]] > ids[which]  # another document of the chunk has the run
-                    size = one.sizes[runs_]
-                    run = np.repeat(np.arange(len(runs_)), size)
-                    step = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-                    far = (one.anchor - one.first)[runs_][run] - step
-                    gone[one.at[runs_][run] + step] = whole[run] | bits[which[run], far]
-                cover = np.zeros(len(one.raw) + 1, np.int64)
-                cover[one.starts[gone]] += 1
-                cover[one.starts[gone] + length] -= 1
+                    first, size = one.first[runs_], one.sizes[runs_]
+                    np.add.at(cover, first[whole], 1)
+                    np.add.at(cover, first[whole] + size[whole] - 1 + length, -1)
+                    part = np.flatnonzero(~whole & bits.any(axis=1)[which])
+                    run = np.repeat(part, size[part])
+                    step = np.arange(len(run)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                    gone = first[run] + step
+                    gone = gone[bits[which[run], one.anchor[runs_][run] - gone]]
+                    np.add.at(cover, gone, 1)
+                    np.add.at(cover, gone + length, -1)
                 yield answered(one, np.cumsum(cover[:-1]) > 0, more["rest"])
 
     def answered(one: Chunk, removed: np.ndarray, other) -> pa.RecordBatch:
@@ -391,12 +407,12 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
     cuts = np.unique(grams[np.linspace(0, len(grams) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(grams) else grams
     sent = spark.sparkContext.broadcast(cuts.tobytes())  # a gram for each bucket
     said = chunks.select(*slim).mapInArrow(say_grams, "bucket int, chunk long, grams binary")
-    shared = stored(said.groupBy("bucket").applyInArrow(common, "chunk long, bucket int, bits binary"), "suffix-shared")
+    shared = checkpointed(said.groupBy("bucket").applyInArrow(common, "chunk long, bucket int, bits binary"))
     released(spark)
     answers = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     asked = chunks.select(*slim).join(answers, "chunk", "left").select(*slim, "answers")
     told = asked.mapInArrow(say_suffixes, "bucket int, chunk long, rows binary, ids binary")
-    done = stored(told.groupBy("bucket").applyInArrow(decided, "chunk long, bucket int, bits binary"), "suffix-decided")
+    done = checkpointed(told.groupBy("bucket").applyInArrow(decided, "chunk long, bucket int, bits binary"))
     released(spark)
     both = answers.join(done.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("decided")), "chunk", "full")
     return chunks.join(both, "chunk", "left").select(*slim, "rest", "answers", "decided").mapInArrow(cut, result)
