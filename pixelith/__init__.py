@@ -7,6 +7,15 @@ import os
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytecodes above which the JIT leaves a method alone, and it crawls.
+JIT_LIMIT = "8000"
+
+
+def small_methods(spark) -> None:
+    """Has Spark generate code operator by operator, in small methods, where one method for all would pass JIT_LIMIT."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
+
+
 def reachable(spark) -> None:
     """Lets Python workers import this package from where the driver has it, whatever folder the driver runs in."""
     known = spark.sparkContext.environment

@@ -8,11 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelith import small_methods
 from pixelith.functions.pixels import hsv_to_rgb, num, pick, rgb_to_hsv
 
 
 def hue_sat(pixels: DataFrame, deltas: Sequence[tuple[float, float, float]], divisions: tuple[int, int, int]) -> DataFrame:
     """functions.pixels.hue_sat_map() on the columns r, g, b; other columns pass through."""
+    small_methods(pixels.sparkSession)
     nh, ns, nv = divisions
     keep = [c for c in pixels.columns if c not in ("r", "g", "b")]
     h, s, v = rgb_to_hsv(*[F.greatest(F.col(c), num(0.0)) for c in "rgb"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelith import reachable
+from pixelith import reachable, small_methods
 
 HEIGHT, WIDTH = 100, 64
 BOUNDS = (0, 0, HEIGHT, WIDTH)
@@ -20,6 +20,7 @@ GRID = 1048576.0
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
+    small_methods(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelith import reachable
+from pixelith import reachable, small_methods
 from pixelith.functions import colour
 from pixelith.functions import pixels as P
 from pixelith.operators import raster as R
@@ -164,6 +164,7 @@ def develop(files: DataFrame, stage: int | None = None, **options) -> DataFrame:
     group gets its own plan; all groups are one union. The number of groups is that of distinct headers.
     """
     reachable(files.sparkSession)
+    small_methods(files.sparkSession)
     head = files.withColumn("_head", F.md5(F.substring("content", 1, 4096)))
     out = None
     for row in head.groupBy("_head").agg(F.min("file_id").alias("file_id")).collect():
