@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     # at most MOST_SOURCES rows: a bounded broadcast
     lane_rows = session.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _lane int")
     rows = slim.join(F.broadcast(lane_rows), F.col("source").eqNullSafe(F.col("_name")), "left").select("doc_id", "source", "size", F.coalesce("_lane", F.lit(len(names))).alias("lane"))
-    ranges = int(max(8, min(100_000, sum(bytes_of) // (64 << 20))))
+    ranges = int(max(256, min(100_000, sum(bytes_of) // (16 << 20))))
     placed = hash_prefix(rows, ["lane"], F.col("doc_id"), ranges, F.col("size"), "offset").withColumn("block", F.expr(f"offset div {block_bytes}"))
     sent = session.sparkContext.broadcast(phases)  # (MOST_SOURCES + 1) phases of about WHOLE slots at most
 
