@@ -104,6 +104,6 @@ def _shard(docs: DataFrame, shards: int, text: str) -> DataFrame:
     lookup = docs.sparkSession.createDataFrame(pd.DataFrame({"_range": np.arange(len(to)) // shards, "_bin": np.arange(len(to)) % shards, "shard": to}).astype("int32"))
     units = placed.join(F.broadcast(lookup), ["_range", "_bin"]).select(*key, "shard")
     done = stored(rows.join(units, key).select("doc_id", "size", "text_crc32", "n_words", "shard"), "shard-done")
-    ranges = int(max(8, min(100_000, -(-int(total.r or 0) // 50_000))))
+    ranges = int(max(64, min(100_000, -(-int(total.r or 0) // 50_000))))
     ranked = hash_prefix(done, ["shard"], F.col("doc_id"), ranges, F.lit(1), "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_words")
