@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from pixelith.llm.common import arrow_limits, spare
 
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 400_000
 NONE = np.int64(1) << 40
 UNDER = "▁"
 #: Runs of spaces longer than this give up whole pieces of 16 first.
