@@ -16,6 +16,8 @@ from pixelith.llm.queries import held_out
 
 #: Repeated passages are cut from this many bytes on: 50 words have as many, and a spare.
 PASSAGE = 100
+#: A source's share of the bytes is its size to this power.
+TEMPERATURE = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +51,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows in mixed order: each source's share of the bytes is its size to the power 0.5, by blocks."""
-    return mixing.mixed_documents(docs, temperature=0.5)
+    """The rows in mixed order: each source's share of the bytes is its size to the power TEMPERATURE, by blocks."""
+    return mixing.mixed_documents(docs, temperature=TEMPERATURE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
-    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), extra=("doc_id", "source"), with_ids=True)
+    """slot, offset, doc_id, source, n_tokens, ids_sha256, decoded_sha256 and the ids themselves, in mixed order.
+
+    A table read back has no order of its own, so the place of each row is worked out again: it depends on the rows
+    alone and is that of mix_sources. Sorting by (slot, offset) gives the mixed order wherever the rows are read.
+    """
+    placed = mixing.mixed_documents(docs.select("doc_id", "source", "text"), place=("slot", "offset"), temperature=TEMPERATURE)
+    return pieces.round_trip(placed, public_tokenizers.path("piece_bpe_32k.model"), extra=("slot", "offset", "doc_id", "source"), with_ids=True)
 
 
 STAGES = [

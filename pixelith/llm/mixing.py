@@ -149,9 +149,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     return placed.withColumn("slot", slot("lane", "block")).select("doc_id", "source", "size", "lane", "block", "slot", "offset")
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:
     """The rows of docs, all columns, in mixed order: range-partitioned and sorted by (slot, offset).
 
+    place: names for slot and offset, which then come before the columns of docs.
+
     Rows whose doc_id repeats are told apart by position in neither table, so they share the first one's place.
     """
     at, key = spare("_at", docs.columns), spare("_key", docs.columns)
@@ -159,4 +161,5 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, **
     joined = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key)))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(parts, at).sortWithinPartitions(at, "doc_id").select(*docs.columns)
+    placed = [F.col(at)[field].alias(name) for field, name in zip(("slot", "offset"), place or ())]
+    return joined.repartitionByRange(parts, at).sortWithinPartitions(at, "doc_id").select(*placed, *docs.columns)

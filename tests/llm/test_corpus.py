@@ -275,6 +275,29 @@ def test_pipeline_on_edge_cases(spark, docs, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count()
 
 
+def test_the_pipeline_keeps_the_mixed_order(spark):
+    import corpus_pipeline
+    from pixelith.llm.common import stored
+
+    rows = [(i, f"{i} " + "some words of a text " * 3000, "big" if i < 64 else "small") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _, stage in corpus_pipeline.STAGES[-2:]:
+        docs = stored(stage(spark, docs, SF), "test-order")
+    assert docs.columns[:4] == ["slot", "offset", "doc_id", "source"]
+    got = docs.drop("ids").orderBy("slot", "offset").collect()
+    assert sorted(r.doc_id for r in got) == list(range(80))
+    want = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), temperature=corpus_pipeline.TEMPERATURE)
+    assert [(r.doc_id, r.slot, r.offset) for r in got] == [(r.doc_id, r.slot, r.offset) for r in want.orderBy("slot", "offset").collect()]
+    size = {i: len(text) + 1 for i, text, _ in rows}
+    block = 1 << 18
+    last = max(r.slot for r in got if r.source == "small")
+    # 64 and 16 rows of one size: shares 2/3 and 1/3 while both last; a row may cross the end of its block
+    for slot in range(1, last):
+        ahead = {s: sum(size[r.doc_id] for r in got if r.source == s and r.slot < slot) for s in ("big", "small")}
+        assert abs(ahead["big"] - slot * block * 2 / 3) < block + max(size.values())
+        assert abs(ahead["small"] - slot * block / 3) < block + max(size.values())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
