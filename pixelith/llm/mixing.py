@@ -1,19 +1,21 @@
 """Mixing sources to target weights by a Pfair schedule.
 
-A source with weight w of W has, in any t slots, w * t / W blocks due. Block i of a source is released at slot
-floor(i * W / w) and has its deadline at ceil((i + 1) * W / w); each slot takes the released block with the earliest
-deadline. On one lane with weights that add up to W this meets every deadline, so at any slot a source is less than
-one block away from its share. With whole weights the schedule repeats after W slots, so one period, made on the
-driver, places every block of every source by arithmetic on its number.
-
-A source that has no more blocks ends a phase: the next one goes on with the weights of the others. So no row is
-dropped or repeated, and within each phase the bound holds.
+While all sources last, a source with weight w of W has, in any t slots, w * t / W blocks due. As soon as the blocks due
+of a source are all it has, the others share its part by their weights. Block i of a source is released at the slot in
+which i blocks become due, and has its deadline at the end of the slot in which i + 1 are; each slot takes the released
+block with the earliest deadline. What is due of all sources is one block a slot, so this meets every deadline, and at
+any slot a source is less than one block away from what is due.
+
+Weights are taken as they are, not rounded: a float is a fraction, and releases and deadlines are whole-number
+arithmetic on such fractions. No row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,27 +27,22 @@ from pixelith.llm.common import hash_prefix, spare, stored
 
 #: Sources with a weight of their own; all others together are one more.
 MOST_SOURCES = 256
-#: The sum of the whole weights.
+#: The sum that whole_weights() aims at.
 WHOLE = 1000
 
 
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights; 0 for what is not positive."""
+    parts = [(w if w > 0 else 0).as_integer_ratio() for w in weights]
+    common = math.lcm(*(d for _, d in parts)) if parts else 1
+    return [n * (common // d) for n, d in parts]
+
+
 def period(weights: list[int]) -> list[list[int]]:
-    """The slots of each source in one period of sum(weights) slots, earliest deadline first among released blocks."""
-    whole = sum(weights)
-    release = [[i * whole // w for i in range(w)] for w in weights]
-    waiting = [(0, s, 0) for s, w in enumerate(weights) if w]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in weights]
-    for t in range(whole):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * whole // weights[s]), s, i))
-        _, s, i = heapq.heappop(ready)
-        slots[s].append(t)
-        if i + 1 < weights[s]:
-            heapq.heappush(waiting, (release[s][i + 1], s, i + 1))
-    return slots
+    """The slots of each source in sum(weights) slots, where each has as many blocks as its weight tells."""
+    schedule = plan(weights, weights)
+    starts, slots = schedule if schedule else ([0] * (len(weights) + 1), np.zeros(0, np.int64))
+    return [slots[starts[s] : starts[s + 1]].tolist() for s in range(len(weights))]
 
 
 def whole_weights(weights: list[float], whole: int = WHOLE) -> list[int]:
@@ -62,51 +59,61 @@ def whole_weights(weights: list[float], whole: int = WHOLE) -> list[int]:
     return out
 
 
-@dataclass
-class Phase:
-    """first_slot of the phase; per source: its first block in it, the block after its last, its slots in a period."""
-
-    first_slot: int
-    first: list[int]
-    after: list[int]
-    slots: list[list[int]]
-
-
-def plan(weights: list[int], blocks: list[int]) -> list[Phase]:
-    """The phases for sources with these numbers of blocks. A source of weight 0 comes when all others are done."""
-    done, phases, slot = [0] * len(weights), [], 0
-    while True:
-        left = [b - d for b, d in zip(blocks, done, strict=True)]
-        now = [w if n > 0 else 0 for w, n in zip(weights, left, strict=True)]
-        if not sum(now):
-            now = [1 if n > 0 else 0 for n in left]
-        if not sum(now):
-            return phases
-        slots, whole = period(now), sum(now)
-        ends = [(n - 1) // w * whole + slots[s][(n - 1) % w] + 1 for s, (n, w) in enumerate(zip(left, now, strict=True)) if w]
-        length = min(ends)
-        served = [length // whole * w + int(np.searchsorted(slots[s], length % whole)) for s, w in enumerate(now)]
-        after = [d + n for d, n in zip(done, served, strict=True)]
-        phases.append(Phase(slot, done, after, slots))
-        done, slot = after, slot + length
-
-
-def place(phases: list[Phase], source: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """The slot of each (source, block)."""
-    out = np.full(len(block), -1, np.int64)
-    order = np.argsort(source, kind="stable")
-    bounds = np.searchsorted(source[order], np.arange(int(source.max(initial=-1)) + 2))
-    for s in range(len(bounds) - 1):
-        rows = order[bounds[s] : bounds[s + 1]]
-        if not len(rows):
+def earliest_first(weights: list[int], blocks: list[int]) -> Iterator[int]:
+    """The source of each slot; all weights and numbers of blocks are positive."""
+    whole, scale = sum(weights), 1 << (2 * max(weights).bit_length() + 2)  # tells any two of the fractions block / weight apart
+    order = sorted(range(len(weights)), key=lambda s: blocks[s] * scale // weights[s])
+    ends = [blocks[s] * scale // weights[s] for s in order]
+    gone, rest = [0], [whole]  # of the sources that end before: their blocks, and the weight of all others
+    for s in order:
+        gone.append(gone[-1] + blocks[s])
+        rest.append(rest[-1] - weights[s])
+
+    def due(i: int, w: int) -> tuple[int, int]:
+        """When i blocks of a source of weight w are due: the last slot that begins before or then, the first one after or then."""
+        k = bisect_right(ends, i * scale // w - 1)
+        n = rest[k] * i
+        return gone[k] + n // w, gone[k] - (-n // w)
+
+    waiting = [(0, s, 0) for s in range(len(weights))]  # release, source, block
+    ready: list[tuple[int, int, int]] = []
+    for t in range(gone[-1]):
+        while waiting and waiting[0][0] <= t:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(i + 1, weights[s])[1], s, i))
+        _, s, i = heapq.heappop(ready)
+        yield s
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, (due(i + 1, weights[s])[0], s, i + 1))
+
+
+def plan(weights: list[int], blocks: list[int]) -> tuple[np.ndarray, np.ndarray] | list:
+    """The slots of all blocks, source by source, and where each source's begin in them; nothing for no blocks.
+
+    Sources of weight 0 come when all others are done, in equal parts. 8 bytes a block; some microseconds each.
+    """
+    starts = np.concatenate([[0], np.cumsum(np.asarray(blocks, np.int64))]).astype(np.int64)
+    if not starts[-1]:
+        return []
+    slots, t = np.empty(starts[-1], np.int64), 0
+    at = starts[:-1].tolist()
+    for some in ([s for s, w in enumerate(weights) if w and blocks[s]], [s for s, w in enumerate(weights) if not w and blocks[s]]):
+        if not some:
             continue
-        which = np.searchsorted(np.array([p.after[s] for p in phases]), block[rows], "right")
-        for k in np.unique(which):
-            p, at = phases[k], rows[which == k]
-            slots, whole = np.array(p.slots[s]), sum(map(len, p.slots))
-            i = block[at] - p.first[s]
-            out[at] = p.first_slot + i // len(slots) * whole + slots[i % len(slots)]
-    return out
+        for which in earliest_first([weights[s] or 1 for s in some], [blocks[s] for s in some]):
+            s = some[which]
+            slots[at[s]] = t
+            at[s] += 1
+            t += 1
+    return starts, slots
+
+
+def place(schedule: tuple[np.ndarray, np.ndarray] | list, source: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The slot of each (source, block)."""
+    if not schedule:
+        return np.full(len(block), -1, np.int64)
+    starts, slots = schedule
+    return slots[starts[source] + block]
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_bytes: int = 1 << 18, source: str = "source", text: str = "text") -> DataFrame:
@@ -117,7 +124,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     MOST_SOURCES largest sources have a lane each, all others share one, whose weight is the sum of theirs (or the
     weight of the key ""). A null source is a source, a null text counts as empty; a row with a text longer than a
     block fills several. Within a source the order is a hash of doc_id. The driver holds the lanes' sums, at most
-    MOST_SOURCES + 1, and the phases, no more.
+    MOST_SOURCES + 1, and the slot of each block, 8 bytes each.
     """
     session = docs.sparkSession
     reachable(session)
@@ -133,14 +140,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
         target = [float(b) ** temperature if b else 0.0 for b in bytes_of]
     else:
         target = [float(weights.get(n if n is not None else "", 0.0)) for n in names] + [float(weights.get("", 0.0)) if rest else 0.0]
-    whole = whole_weights(target, max(WHOLE, len(target)))
-    phases = plan(whole, [-(-b // block_bytes) for b in bytes_of])
+    schedule = plan(exact(target), [-(-b // block_bytes) for b in bytes_of])
     # at most MOST_SOURCES rows: a bounded broadcast
     lane_rows = session.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _lane int")
     rows = slim.join(F.broadcast(lane_rows), F.col("source").eqNullSafe(F.col("_name")), "left").select("doc_id", "source", "size", F.coalesce("_lane", F.lit(len(names))).alias("lane"))
     ranges = int(max(256, min(100_000, sum(bytes_of) // (16 << 20))))
     placed = hash_prefix(rows, ["lane"], F.col("doc_id"), ranges, F.col("size"), "offset").withColumn("block", F.expr(f"offset div {block_bytes}"))
-    sent = session.sparkContext.broadcast(phases)  # (MOST_SOURCES + 1) phases of about WHOLE slots at most
+    sent = session.sparkContext.broadcast(schedule)  # 8 bytes a block: 1 MB for 30 GB in blocks of 256 KiB
 
     @F.pandas_udf("long")
     def slot(lane: pd.Series, block: pd.Series) -> pd.Series:

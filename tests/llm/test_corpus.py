@@ -46,6 +46,49 @@ def test_whole_weights():
     assert min(mixing.whole_weights([1e9, 1])) == 1
 
 
+def lags(target, blocks, slots):
+    """Per source, in blocks: the share of unrounded targets less what was served, after each slot while all last."""
+    both = [np.array(slots[s]) for s in range(len(target))]
+    t = min(int(own[-1]) for own in both if len(own))
+    for w, own in zip(target, both, strict=True):
+        served = np.searchsorted(own, np.arange(t + 1))
+        yield np.arange(t + 1) * (w / sum(target)) - served
+
+
+@pytest.mark.parametrize("sizes, temperature", [([10e9] + [1e9] * 20, 0.5), ([1e9, 3e8, 7.7e7, 12345.0], 0.7)])
+def test_bound_against_unrounded_targets(sizes, temperature):
+    target = [x**temperature for x in sizes]
+    blocks = [int(np.ceil(130_000 * w / sum(target))) for w in target]
+    starts, slots = mixing.plan(mixing.exact(target), blocks)
+    own = [slots[starts[s] : starts[s + 1]] for s in range(len(sizes))]
+    assert sorted(slots.tolist()) == list(range(sum(blocks))) and len(slots) > 100_000
+    for lag in lags(target, blocks, own):
+        assert len(lag) > 100_000 and np.abs(lag).max() < 1 + 1e-6
+
+
+def test_a_small_target_is_not_raised():
+    starts, slots = mixing.plan(mixing.exact([0.9999, 0.0001]), [120_000, 30])
+    assert (slots[starts[1] :] < 100_000).sum() in (9, 10, 11)
+
+
+def test_bound_holds_when_sources_end():
+    weights, blocks = [5.5, 3.25, 2.0, 1.0], [40, 400, 30, 7]
+    starts, slots = mixing.plan(mixing.exact(weights), blocks)
+    got, due = [0] * 4, [0.0] * 4
+    for t, s in enumerate(np.repeat(np.arange(4), blocks)[np.argsort(slots)].tolist()):
+        got[s] += 1
+        left = 1.0
+        while left > 1e-12:  # the fluid share of one slot, by the weights of those that have blocks left
+            live = [i for i in range(4) if due[i] < blocks[i] - 1e-9]
+            if not live:
+                break
+            whole = sum(weights[i] for i in live)
+            step = min([left, *((blocks[i] - due[i]) * whole / weights[i] for i in live)])
+            due = [d + step * weights[i] / whole if i in live else d for i, d in enumerate(due)]
+            left -= step
+        assert all(abs(g - d) < 1 + 1e-6 for g, d in zip(got, due, strict=True)), t
+
+
 def test_mix(spark, docs, empty):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mix(df, block_bytes=4096).collect()
