@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pixelith import reachable
 from pixelith.llm.common import hash_prefix, spare, stored
 
-#: Sources with a weight of their own; all others together are one more.
+#: The largest sources, whose numbers are broadcast; rows of the others get theirs by a shuffled join. All are scheduled alike.
 MOST_SOURCES = 256
 #: The sum that whole_weights() aims at.
 WHOLE = 1000
@@ -116,43 +116,52 @@ def place(schedule: tuple[np.ndarray, np.ndarray] | list, source: np.ndarray, bl
     return slots[starts[source] + block]
 
 
+def numbered(rows: DataFrame, names: list[str | None]) -> DataFrame:
+    """Adds the place in names of each row's source. The first MOST_SOURCES names, which may have most of the rows, go by a bounded broadcast."""
+    session, of = rows.sparkSession, "_name string, number int"
+    pairs = [(n, i) for i, n in enumerate(names)]
+    most = F.broadcast(session.createDataFrame(pairs[:MOST_SOURCES], of))
+    same = F.col("source").eqNullSafe(F.col("_name"))
+    out = rows.join(most, same).drop("_name")
+    if len(names) > MOST_SOURCES:
+        others = session.createDataFrame(pd.DataFrame(pairs[MOST_SOURCES:], columns=["_name", "number"]), of)
+        out = out.unionByName(rows.join(most, same, "left_anti").join(others, same).drop("_name"))
+    return out
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_bytes: int = 1 << 18, source: str = "source", text: str = "text") -> DataFrame:
     """Per row: doc_id, source, size (UTF-8 bytes + 1), block, slot and offset (bytes of the source before the row).
 
     In order of (slot, offset) the rows run through the sources at their target weights, by bytes, in blocks of
-    block_bytes. weights: the target of each source; without, a source's bytes to the power `temperature`. The
-    MOST_SOURCES largest sources have a lane each, all others share one, whose weight is the sum of theirs (or the
-    weight of the key ""). A null source is a source, a null text counts as empty; a row with a text longer than a
-    block fills several. Within a source the order is a hash of doc_id. The driver holds the lanes' sums, at most
-    MOST_SOURCES + 1, and the slot of each block, 8 bytes each.
+    block_bytes. weights: the target of each source (the key "" is that of a null source, too), 0 where it has none;
+    without, a source's bytes to the power `temperature`. Every source is scheduled by itself; lane is its number by
+    size, MOST_SOURCES for all beyond. A null source is a source, a null text counts as empty; a row with a text longer
+    than a block fills several. Within a source the order is a hash of doc_id. The driver holds a name and a weight for
+    each source and a slot for each block (8 bytes each; the workers have these, too).
     """
     session = docs.sparkSession
     reachable(session)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     slim = stored(docs.select("doc_id", F.col(source).alias("source"), size.alias("size")), "mix-rows")
     sums = slim.groupBy("source").agg(F.sum("size").alias("bytes"))
-    lanes = sums.orderBy(F.desc("bytes"), F.asc_nulls_first("source")).limit(MOST_SOURCES).toPandas()
-    rest = sums.agg(F.sum("bytes").alias("b")).first().b or 0
-    rest = int(rest) - int(lanes["bytes"].sum())
-    names = [None if pd.isna(x) else x for x in lanes["source"]]
-    bytes_of = [int(x) for x in lanes["bytes"]] + [rest]
+    sums = sums.orderBy(F.desc("bytes"), F.asc_nulls_first("source")).toPandas()
+    names = [None if pd.isna(x) else x for x in sums["source"]]
+    bytes_of = [int(x) for x in sums["bytes"]]
     if weights is None:
-        target = [float(b) ** temperature if b else 0.0 for b in bytes_of]
+        target = [float(b) ** temperature for b in bytes_of]
     else:
-        target = [float(weights.get(n if n is not None else "", 0.0)) for n in names] + [float(weights.get("", 0.0)) if rest else 0.0]
+        target = [weights.get(n if n is not None else "", 0.0) for n in names]
     schedule = plan(exact(target), [-(-b // block_bytes) for b in bytes_of])
-    # at most MOST_SOURCES rows: a bounded broadcast
-    lane_rows = session.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _lane int")
-    rows = slim.join(F.broadcast(lane_rows), F.col("source").eqNullSafe(F.col("_name")), "left").select("doc_id", "source", "size", F.coalesce("_lane", F.lit(len(names))).alias("lane"))
+    rows = numbered(slim, names)
     ranges = int(max(256, min(100_000, sum(bytes_of) // (16 << 20))))
-    placed = hash_prefix(rows, ["lane"], F.col("doc_id"), ranges, F.col("size"), "offset").withColumn("block", F.expr(f"offset div {block_bytes}"))
+    placed = hash_prefix(rows, ["number"], F.col("doc_id"), ranges, F.col("size"), "offset").withColumn("block", F.expr(f"offset div {block_bytes}"))
     sent = session.sparkContext.broadcast(schedule)  # 8 bytes a block: 1 MB for 30 GB in blocks of 256 KiB
 
     @F.pandas_udf("long")
-    def slot(lane: pd.Series, block: pd.Series) -> pd.Series:
-        return pd.Series(place(sent.value, lane.to_numpy(np.int64), block.to_numpy(np.int64)))
+    def slot(number: pd.Series, block: pd.Series) -> pd.Series:
+        return pd.Series(place(sent.value, number.to_numpy(np.int64), block.to_numpy(np.int64)))
 
-    return placed.withColumn("slot", slot("lane", "block")).select("doc_id", "source", "size", "lane", "block", "slot", "offset")
+    return placed.withColumn("slot", slot("number", "block")).withColumn("lane", F.least("number", F.lit(MOST_SOURCES))).select("doc_id", "source", "size", "lane", "block", "slot", "offset")
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:

@@ -112,6 +112,27 @@ def test_sources_beyond_the_lanes_share_one(spark, monkeypatch):
     assert len(got) == 100 and {r.lane for r in got} == {0, 1, 2} and min(r.slot for r in got) == 0
 
 
+def test_every_source_is_scheduled(spark):
+    rows = [(i, "t" * 15, None if i % 300 == 299 else f"s{i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, block_bytes=16).collect()
+    assert sorted(r.slot for r in got) == list(range(3000)) and len({r.doc_id for r in got}) == 3000
+    for name in {r.source for r in got}:
+        slots = sorted(r.slot for r in got if r.source == name)
+        assert all(abs((t + 1) / 300 - (k + 1)) < 1 for k, t in enumerate(slots)), "one block of each source in 300 slots"
+        assert sorted(r.offset for r in got if r.source == name) == [16 * k for k in range(10)]
+
+
+def test_a_weight_beyond_the_largest_sources_counts(spark, monkeypatch):
+    rows = [(i, "t" * 15, f"s{min(i // 100, 5)}") for i in range(560)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = {(r.doc_id, r.slot, r.offset) for r in mixing.mix(df, {"s5": 3.0, "s0": 1.0}, block_bytes=16).collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    got = mixing.mix(df, {"s5": 3.0, "s0": 1.0}, block_bytes=16).collect()
+    assert sum(r.source == "s5" for r in got if r.slot < 40) == 30 and sum(r.source == "s0" for r in got if r.slot < 40) == 10
+    assert {(r.doc_id, r.slot, r.offset) for r in got} == whole, "the bound of the broadcast doesn't show"
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------
 
 
