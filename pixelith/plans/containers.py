@@ -96,15 +96,29 @@ def ifd_tags(spark, sf):
     return t.select("file_id", tiff.byte_at(F.col("w"), 0, 4).alias("width"), tiff.byte_at(F.col("h"), 0, 4).alias("height"))
 
 
-@query("SELECT doc_id AS file_id, CAST(0 AS INT) AS ord, 'title' AS name, lang AS text FROM documents UNION ALL SELECT doc_id, 1, 'keyword', source FROM documents UNION ALL SELECT doc_id, 2, 'description', left(text, 200) FROM documents")
-def iptc_records(spark, sf):
+def _whole_records(spark, sf):
+    """Language, source and the whole text of each document, written as IIM blocks and read again."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            blocks = [metadata.iim_block([(5, x), (25, y), (120, z)]) for x, y, z in zip(b["lang"], b["source"], b["head"], strict=True)]
+            blocks = [metadata.iim_block([(5, x), (25, y), (120, z)]) for x, y, z in zip(b["lang"], b["source"], b["text"], strict=True)]
             yield pd.DataFrame({"file_id": b["doc_id"], "content": blocks})
 
-    docs = B.read(spark, sf, "documents").select("doc_id", "lang", "source", F.expr("left(text, 200)").alias("head"))
-    return metadata.iim_records(docs.mapInPandas(run, "file_id long, content binary"))
+    docs = B.read(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return metadata.iim_records(docs.mapInPandas(run, "file_id long, content binary"), join=True)
+
+
+@query("SELECT doc_id AS file_id, CAST(0 AS INT) AS ord, 'title' AS name, lang AS text FROM documents UNION ALL SELECT doc_id, 1, 'keyword', source FROM documents UNION ALL SELECT doc_id, 2, 'description', text FROM documents")
+def iptc_texts(spark, sf):
+    """All records with their whole texts."""
+    return _whole_records(spark, sf)
+
+
+@query("SELECT doc_id AS file_id, CAST(0 AS INT) AS ord, 'title' AS name, lang AS text FROM documents UNION ALL SELECT doc_id, 1, 'keyword', source FROM documents UNION ALL SELECT doc_id, 2, 'description', left(text, 200) FROM documents")
+def iptc_records(spark, sf):
+    """Whole texts are written and read; of a description the result shows what its SQL does, iptc_texts shows all."""
+    shown = F.when(F.col("name") == "description", F.expr("left(text, 200)")).otherwise(F.col("text"))
+    return _whole_records(spark, sf).withColumn("text", shown)
 
 
 def _area(t=10, l=4, b=90, r=60, plane=0, planes=1, rp=2, cp=3) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -125,21 +126,55 @@ def iim(block: bytes) -> list[tuple[str, str]]:
     return out
 
 
+#: Bytes that a dataset's size can tell (fixed by the format).
+MOST_BYTES = 65535
+
+
+def iim_pieces(dataset: int, text: str) -> Iterator[bytes]:
+    """A text in as many datasets as it needs, cut between characters and not after a NUL, which readers strip.
+
+    A dataset that may repeat can't be cut: its pieces would be read as several values.
+    """
+    raw = text.encode()
+    if len(raw) > MOST_BYTES and IIM.get(dataset, ("", 1))[1]:
+        raise FormatError(f"dataset {dataset} has {len(raw)} bytes")
+    while len(raw) > MOST_BYTES:
+        cut = MOST_BYTES
+        while cut and (raw[cut] & 0xC0 == 0x80 or raw[cut - 1] == 0):
+            cut -= 1
+        if not cut:
+            raise FormatError(f"dataset {dataset} can't be cut")
+        yield raw[:cut]
+        raw = raw[cut:]
+    yield raw
+
+
 def iim_block(fields: list[tuple[int, str]]) -> bytes:
-    """A block of UTF-8 datasets of record 2."""
+    """A block of UTF-8 datasets of record 2; a long text goes to several in a row, which iim_joined() puts together."""
     out = b"\x1c\x01\x5a\x00\x03\x1b%G"
     for dataset, text in fields:
-        raw = text.encode()[:65535]
-        out += bytes([0x1C, 2, dataset]) + len(raw).to_bytes(2, "big") + raw
+        for raw in iim_pieces(dataset, text):
+            out += bytes([0x1C, 2, dataset]) + len(raw).to_bytes(2, "big") + raw
+    return out
+
+
+def iim_joined(records: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The records with those in a row joined whose dataset doesn't repeat."""
+    once = {name for name, repeats in IIM.values() if not repeats}
+    out: list[tuple[str, str]] = []
+    for name, group in itertools.groupby(records, key=lambda r: r[0]):
+        texts = [text for _, text in group]
+        out += [(name, "".join(texts))] if name in once else [(name, text) for text in texts]
     return out
 
 
-def iim_records(blocks: DataFrame) -> DataFrame:
-    """file_id, ord, name, text of (file_id, content)."""
+def iim_records(blocks: DataFrame, join: bool = False) -> DataFrame:
+    """file_id, ord, name, text of (file_id, content); join: texts over several datasets are put together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, k, n, t) for f, c in zip(batch["file_id"], batch["content"], strict=True) for k, (n, t) in enumerate(iim(bytes(c or b"")))]
+            read = ((f, iim(bytes(c or b""))) for f, c in zip(batch["file_id"], batch["content"], strict=True))
+            rows = [(f, k, n, t) for f, found in read for k, (n, t) in enumerate(iim_joined(found) if join else found)]
             yield pd.DataFrame(rows, columns=["file_id", "ord", "name", "text"])
 
     return blocks.select("file_id", "content").mapInPandas(run, "file_id long, ord int, name string, text string")

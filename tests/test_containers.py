@@ -104,6 +104,15 @@ def test_iim():
     assert metadata.iim_date("20240131") == (2024, 1, 31) and metadata.iim_time("1") is None
 
 
+def test_iim_keeps_long_texts():
+    for text in ("é" * 40_000, "a" + "中" * 50_000, "x" * 65_534 + "\0" * 5 + "y", "x" * 65_535, "b" * 200_000):
+        block = metadata.iim_block([(5, "Titel"), (120, text), (25, "eins"), (25, "zwei")])
+        assert metadata.iim_joined(metadata.iim(block)) == [("title", "Titel"), ("description", text), ("keyword", "eins"), ("keyword", "zwei")]
+    for dataset, text in ((25, "x" * 65_536), (120, "\0" * 70_000 + "x")):
+        with pytest.raises(tiff.FormatError):
+            metadata.iim_block([(dataset, text)])
+
+
 def test_shown():
     assert metadata.shown(tiff.entry(270, 2, 'a"\n'), "<") == '"a\\"\\x0A"'
     assert metadata.shown(tiff.entry(258, 3, list(range(10))), "<", 3) == "[0, 1, 2, … (+7 more)]"
