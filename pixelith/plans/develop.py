@@ -1,16 +1,20 @@
 """From container to picture: the stages of camera-raw processing over files that share their metadata.
 
-Metadata is small: develop() reads it on the driver, once for each distinct set among the files, and folds it into the
+Metadata is small: executors compare it, and develop() reads it on the driver, once for each distinct set among the files, and folds it into the
 plan. Samples never come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelith import reachable, small_methods
 from pixelith.functions import colour
@@ -157,20 +161,42 @@ def picture(px: DataFrame, meta: Meta, bounds: tuple[int, int, int, int], *, spa
     return wide.select("image_id", "row", "col", *[P.quantize(F.col(c)).alias(c) for c in "rgb"])
 
 
+def settings(files: DataFrame) -> DataFrame:
+    """file_id and a digest of all that a plan needs of the file, read from the whole container on the executors.
+
+    A file that can't be read has a digest of its error.
+    """
+
+    def digest(content) -> str:
+        try:
+            found = repr(read_meta(bytes(content)))
+        except Exception as e:  # develop() reads one file of each digest and raises it there
+            found = f"{type(e).__name__}: {e}"
+        return hashlib.md5(found.encode()).hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"file_id": b["file_id"], "_meta": [digest(c) for c in b["content"]]})
+
+    schema = T.StructType([files.schema["file_id"], T.StructField("_meta", T.StringType())])
+    return files.select("file_id", "content").mapInPandas(run, schema)
+
+
 def develop(files: DataFrame, stage: int | None = None, **options) -> DataFrame:
     """The samples after a stage (1 to 3), or the picture, of (file_id, content).
 
-    Files are grouped by a digest of their first 4 KB without strip data: a camera's settings make one group, and each
-    group gets its own plan; all groups are one union. The number of groups is that of distinct headers.
+    Files whose metadata is equal in all that the plan needs make one group, wherever in the file it lies, and each
+    group gets its own plan; all groups are one union. Samples and where they are stored don't count.
     """
     reachable(files.sparkSession)
     small_methods(files.sparkSession)
-    head = files.withColumn("_head", F.md5(F.substring("content", 1, 4096)))
+    known = settings(files).persist()  # an id and a digest each; read once for the groups, and by each group's plan
     out = None
-    for row in head.groupBy("_head").agg(F.min("file_id").alias("file_id")).collect():
+    for row in known.groupBy("_meta").agg(F.min("file_id").alias("file_id")).collect():
         sample = files.where(F.col("file_id") == row.file_id).select("content").first()
         meta = read_meta(bytes(sample.content))
-        some = head.where(F.col("_head") == row["_head"]).drop("_head")
+        own = known.where(F.col("_meta") == row["_meta"]).select(F.col("file_id").alias("_id"))
+        some = files.join(own, F.col("file_id").eqNullSafe(F.col("_id")), "left_semi")
         px, bounds = stage_1(some, meta)
         if stage is None or stage > 1:
             px, bounds = stage_2(px, meta, bounds)

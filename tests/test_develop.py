@@ -50,6 +50,23 @@ def test_each_header_has_its_plan(spark):
     assert (grid(got.where("image_id = 0")) == a[:, :, 0]).all() and (grid(got.where("image_id = 1")) == b[:, :, 0]).all()
 
 
+def test_metadata_beyond_the_first_bytes_counts(spark):
+    def scaled(by):
+        lists = O.pack([(8, struct.pack(">4i4I", 0, 0, 20, 16, 0, 1, 1, 1) + struct.pack(">I1d", 0, by))])
+        return raw(extra=[tiff.entry(37500, 7, bytes(9000)), tiff.entry(51009, 7, lists)])[1]
+
+    x, y = scaled(0.25), scaled(0.5)
+    assert x[:4096] == y[:4096] and x != y
+    got = D.develop(rows(spark, x, y), 2)
+    assert np.allclose(grid(got.where("image_id = 0")), 0.25) and np.allclose(grid(got.where("image_id = 1")), 0.5)
+
+
+def test_samples_make_no_group(spark):
+    (_, x), (_, y), (_, z) = raw(seed=2), raw(seed=3), raw(12, 10)
+    found = {r.file_id: r["_meta"] for r in D.settings(rows(spark, x, y, z)).collect()}
+    assert found[0] == found[1] != found[2]
+
+
 def test_unsupported(spark):
     _, data = raw(photometric=1)
     with pytest.raises(D.NotYet):
