@@ -31,17 +31,25 @@ def spare(name: str, taken) -> str:
     return name
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bounds the Arrow batches that go to Python workers by rows and bytes."""
+#: Rows and bytes of the Arrow batches that go to Python workers: one setting for all operators, so that a lazy result
+#: runs under the same limits whatever has been called since.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def arrow_limits(spark: SparkSession) -> None:
+    """Bounds the Arrow batches by rows and bytes."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode, where
+    driver and executors are one process, and an error on a cluster."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         path = getattr(shared_dir, "fallback", None) or f"file://{tempfile.mkdtemp(prefix='pixelith')}"
         shared_dir.fallback = path
     return path.rstrip("/")
@@ -54,13 +62,14 @@ _SCRATCH: list[list[str]] = []
 def stored(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    Inside scratch() the table goes when that ends, unless keep is set.
+    Inside scratch() the table goes when that ends; with keep, when the scratch() around it ends, if there is one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    owners = _SCRATCH[:-1] if keep else _SCRATCH
+    if owners:
+        owners[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -147,17 +156,21 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def shuffled(key: Column) -> Column:
+    """A number below 2 ** 60 that stands for the key in a random order: the first 15 hex digits of the md5 of its text."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def hash_prefix(df: DataFrame, groups: list[str], key: Column, parts: int, weight: Column, out: str = "before") -> DataFrame:
-    """Adds the sum of weight over the rows before a row in its group, in order of a hash of key and key itself.
+    """Adds the sum of weight over the rows before a row in its group, in order of shuffled(key) and key itself.
 
-    The order falls into `parts` equal ranges of the hash. Sums inside a (group, range) come from a window over
+    The order falls into `parts` equal ranges of that number, so it is the same for any number of parts. Sums inside a (group, range) come from a window over
     that small part; the sums of the ranges before it are joined on. So a group of any size spreads over all ranges,
     and both passes see the same order, as it depends on values alone. With weight 1 this is a gapless rank from 0.
     Rows whose key is equal follow one another in any order. df should be a stored table: it is read twice.
     """
-    h = F.xxhash64(key)
     names = [f"_g{i}" for i in range(len(groups))]
-    work = df.withColumns({"_h": h, "_w": weight.cast("long")}).withColumn("_part", F.expr(f"cast(pmod(shiftrightunsigned(_h, 20), {parts}) as int)"))
+    work = df.withColumns({"_h": shuffled(key), "_w": weight.cast("long")}).withColumn("_part", F.expr(f"cast(shiftright(shiftright(_h, 28) * {parts}L, 32) as int)"))
     sums = work.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col("_part").alias("_p")).agg(F.sum("_w").alias("_n"))
     ahead = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ahead_of = sums.select(*names, "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))

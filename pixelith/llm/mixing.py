@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelith import reachable
-from pixelith.llm.common import hash_prefix, spare, stored
+from pixelith.llm.common import hash_prefix, scratch, spare, stored
 
 #: The largest sources, whose numbers are broadcast; rows of the others get theirs by a shuffled join. All are scheduled alike.
 MOST_SOURCES = 256
-#: The sum that whole_weights() aims at.
-WHOLE = 1000
 
 
 def exact(weights: list[float]) -> list[int]:
@@ -45,20 +43,6 @@ def period(weights: list[int]) -> list[list[int]]:
     return [slots[starts[s] : starts[s + 1]].tolist() for s in range(len(weights))]
 
 
-def whole_weights(weights: list[float], whole: int = WHOLE) -> list[int]:
-    """Whole numbers in proportion to the weights, 1 at least for a positive one; by largest remainders."""
-    total = sum(weights)
-    if total <= 0:
-        return [0] * len(weights)
-    exact = [w / total * whole for w in weights]
-    out = [max(1, int(x)) if w > 0 else 0 for x, w in zip(exact, weights, strict=True)]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order:
-        if sum(out) < whole and weights[i] > 0:
-            out[i] += 1
-    return out
-
-
 def earliest_first(weights: list[int], blocks: list[int]) -> Iterator[int]:
     """The source of each slot; all weights and numbers of blocks are positive."""
     whole, scale = sum(weights), 1 << (2 * max(weights).bit_length() + 2)  # tells any two of the fractions block / weight apart
@@ -129,16 +113,22 @@ def numbered(rows: DataFrame, names: list[str | None]) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_bytes: int = 1 << 18, source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, block_bytes: int = 1 << 18, source: str = "source", text: str = "text") -> DataFrame:
     """Per row: doc_id, source, size (UTF-8 bytes + 1), block, slot and offset (bytes of the source before the row).
 
     In order of (slot, offset) the rows run through the sources at their target weights, by bytes, in blocks of
-    block_bytes. weights: the target of each source (the key "" is that of a null source, too), 0 where it has none;
-    without, a source's bytes to the power `temperature`. Every source is scheduled by itself; lane is its number by
-    size, MOST_SOURCES for all beyond. A null source is a source, a null text counts as empty; a row with a text longer
-    than a block fills several. Within a source the order is a hash of doc_id. The driver holds a name and a weight for
+    block_bytes. weights: the target of each source (None is the key of a null source), 0 where it has none; without, a
+    source's bytes to the power `temperature`. Every source is scheduled by itself; lane is its number by size,
+    MOST_SOURCES for all beyond. A null source is a source, a null text counts as empty; a row with a text longer than
+    a block fills several. Within a source the order is a hash of doc_id, then doc_id; rows of one doc_id follow one
+    another in any order, and each counts. An empty table gives an empty one. The driver holds a name and a weight for
     each source and a slot for each block (8 bytes each; the workers have these, too).
     """
+    with scratch(docs.sparkSession):
+        return stored(_mix(docs, weights, temperature, block_bytes, source, text), "mixed", keep=True)
+
+
+def _mix(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, block_bytes: int, source: str, text: str) -> DataFrame:
     session = docs.sparkSession
     reachable(session)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
@@ -150,7 +140,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     if weights is None:
         target = [float(b) ** temperature for b in bytes_of]
     else:
-        target = [weights.get(n if n is not None else "", 0.0) for n in names]
+        target = [weights.get(n, 0.0) for n in names]
     schedule = plan(exact(target), [-(-b // block_bytes) for b in bytes_of])
     rows = numbered(slim, names)
     ranges = int(max(256, min(100_000, sum(bytes_of) // (16 << 20))))
@@ -164,7 +154,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     return placed.withColumn("slot", slot("number", "block")).withColumn("lane", F.least("number", F.lit(MOST_SOURCES))).select("doc_id", "source", "size", "lane", "block", "slot", "offset")
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:
     """The rows of docs, all columns, in mixed order: range-partitioned and sorted by (slot, offset).
 
     place: names for slot and offset, which then come before the columns of docs.

@@ -7,12 +7,14 @@ merged at once, then the array is compacted; words without a mergeable pair leav
 
 Two rules keep the result equal to merging one pair at a time. Occurrences of a pair in one word merge in the same
 round only if no longer piece that contains the merged one ranks before it; else the leftmost alone does. And words
-end wherever two neighbouring characters stand side by side in no piece.
+end wherever two neighbouring characters stand side by side in no piece. Rounds are as many as a word has merges at
+most, so a word of more than LONG_WORD symbols, such as a megabyte without a space, takes its merges from a heap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +30,10 @@ from pixelith.llm.common import arrow_limits, spare
 KNOWN_CHUNKS = 400_000
 NONE = np.int64(1) << 40
 UNDER = "▁"
-#: Runs of spaces longer than this give up whole pieces of 16 first.
-LONG_RUN = 64
+#: Runs of spaces longer than this give up whole pieces of 16 first; in a list of chunks, SPACES16 stands for such a piece.
+LONG_RUN, SPACES16 = 64, 16
+#: Symbols of a word beyond which the rounds, one for each rank that merges, would cost more than a heap.
+LONG_WORD = 128
 
 
 class Pieces:
@@ -77,7 +81,8 @@ class Pieces:
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.starts_with_space = np.array([not special[i] and names[i].startswith(UNDER) for i in range(n)])
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str | int, tuple[bytes, str]] = {}
+        self.merges: dict[int, tuple[int, int]] | None = None
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of the pair (a, b) in the pair tables, -1 where there is none."""
@@ -85,6 +90,37 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
+    def by_heap(self, symbols: list[int]) -> tuple[list[int], list[int]]:
+        """The symbols of one long word after all merges, and the place where each begins."""
+        if self.merges is None:
+            self.merges = dict(zip(self.keys.tolist(), zip(self.pair_rank.tolist(), self.whole.tolist(), strict=True), strict=True))
+        merges, size, n = self.merges, self.size, len(symbols)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+
+        def offer(i: int, j: int) -> None:
+            a, b = symbols[i], symbols[j]
+            found = merges.get(a * size + b) if a < size and b < size else None
+            if found:
+                heapq.heappush(heap, (found[0], i, found[1], a, b))
+
+        heap: list[tuple[int, int, int, int, int]] = []
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, whole, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or symbols[i] != a or symbols[j] != b:
+                continue  # one of the two has merged since
+            symbols[i], symbols[j] = whole, -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
+        at = [i for i, s in enumerate(symbols) if s >= 0]
+        return [symbols[i] for i in at], at
+
     def rounds(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in order, and where each chunk's begin and the last one's end. An unknown character is
         the symbol size + code point, until its bytes take its place."""
@@ -104,6 +140,15 @@ class Pieces:
         inside = np.flatnonzero(~cut[1:])
         pair[inside] = self.pair(symbol[inside], symbol[inside + 1])
         out_symbol, out_place = [], []
+        sizes = np.bincount(word)
+        if sizes.max() > LONG_WORD:
+            ends = np.cumsum(sizes)
+            for w in np.flatnonzero(sizes > LONG_WORD).tolist():
+                got, at = self.by_heap(symbol[ends[w] - sizes[w] : ends[w]].tolist())
+                out_symbol.append(np.array(got, np.int64))
+                out_place.append(np.array(at, np.int64) + (ends[w] - sizes[w]))
+            keep = (sizes <= LONG_WORD)[word]
+            symbol, word, place, pair = symbol[keep], word[keep], place[keep], pair[keep]
         while len(symbol):
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             sizes = np.diff(np.append(starts, len(word)))
@@ -151,30 +196,30 @@ class Pieces:
             symbol, who = np.array(parts, np.int64), np.array(whose)
         return symbol, np.searchsorted(who, np.arange(len(chunks) + 1))
 
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str | int]:
         out = CHUNK((" " + text).replace(UNDER, " "))
         if " " * LONG_RUN in text or UNDER * LONG_RUN in text:
-            short = []
+            short: list[str | int] = []
             for c in out:
                 spaces = len(c) - len(c.lstrip(" "))
                 whole = max(0, (spaces - LONG_RUN // 2) // 16) if spaces > LONG_RUN else 0
-                short += [" " * 16 + "\0"] * whole + [c[16 * whole :]]  # the mark tells it from 16 spaces as text
+                short += [SPACES16] * whole + [c[16 * whole :]]
             return short
         return out
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str | int]) -> None:
+        chunks.discard(SPACES16)
         new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > KNOWN_CHUNKS:
             self.known.clear()
             new = list(chunks)
+        self.known[SPACES16] = (np.array([self.spaces16], "<u4").tobytes(), str(self.spaces16))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             ids, ends = self.rounds([c.replace(" ", UNDER) for c in some])
             raw, text, at = ids.astype("<u4").tobytes(), list(map(str, ids.tolist())), ends.tolist()
             for c, a, b in zip(some, at, at[1:], strict=False):
                 self.known[c] = (raw[4 * a : 4 * b], ",".join(text[a:b]))
-        if " " * 16 + "\0" in chunks:
-            self.known[" " * 16 + "\0"] = (np.array([self.spaces16], "<u4").tobytes(), str(self.spaces16))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Per text: its ids as little-endian u32 bytes, and in decimal joined by commas."""
@@ -227,10 +272,17 @@ def slices(texts: list[str | None], limit: int = 2 << 20) -> Iterator[list[str |
         yield held
 
 
+def unclaimed(df: DataFrame, name: str) -> None:
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name}")
+
+
 def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of each text as array<int> (a null text: an empty array). Other columns stay as they are."""
+    """Adds the ids of each text as array<int> (a null text: an empty array). Other columns stay as they are, repeated
+    rows stay, an empty table stays empty. A column that is called like `out` already is an error."""
+    unclaimed(docs, out)
     arrow_limits(docs.sparkSession)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_path)
@@ -242,9 +294,11 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
 
 
 def decode(coded: DataFrame, model_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of each id array (null: empty). Ids out of range fail."""
+    """Adds the text of each id array (null: empty). Ids out of range fail. Repeated rows stay, an empty table stays
+    empty. A column that is called like `out` already is an error."""
+    unclaimed(coded, out)
     arrow_limits(coded.sparkSession)
-    schema = T.StructType([*[f for f in coded.schema.fields if f.name != out], T.StructField(out, T.StringType())])
+    schema = T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_path)

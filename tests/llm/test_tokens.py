@@ -39,6 +39,21 @@ def test_pieces_match_the_library():
     assert [x.decode() for x in p.decode([np.array(x) for x in want])] == [sp.decode(x) for x in want]
 
 
+def test_spaces_and_nul():
+    """A run of 16 spaces before a NUL is text, not a mark of the encoder's own."""
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.pieces(PIECE)
+    rnd = random.Random(8)
+    parts = [" " * 16, "\0", " ", "  ", "a", "the", " the", " " * 70, " " * 33, "▁", "\n", "中文", "é"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    assert [ids(raw) for raw, _ in p.encode(texts)] == sp.encode(texts)
+
+
+@pytest.mark.parametrize("text", ["the" * 30_000, "x" * 20_000, "中文字" * 9000, "abcdefgh" * 50 + " " + "the" * 44])
+def test_words_of_any_length(text):
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.pieces(PIECE)
+    assert ids(p.encode([text])[0][0]) == sp.encode(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
@@ -86,6 +101,13 @@ def test_encode_decode_operators(docs):
         assert r.ids == sp.encode(r.text or "") and r.decoded == sp.decode(r.ids)
 
 
+def test_a_column_like_the_result_is_an_error(docs):
+    with pytest.raises(ValueError):
+        pieces.encode(docs, PIECE, out="Score")
+    with pytest.raises(ValueError):
+        pieces.decode(docs, PIECE, ids="n_chars", out="score")
+
+
 def test_token_counts_query(docs, empty):
     t = Tokenizer.from_file(WORD)
     got = token_counts.token_counts(docs, WORD, limit=100).collect()
