@@ -7,10 +7,15 @@ sort the suffixes at anchors, about 2 of every length - GRAM + 2, each with the
 1. Chunks: the documents of a partition fall into chunks of CHUNK bytes in order of doc_id, stored with their runs.
 2. Each chunk sends the hashes of its grams, once each, to a bucket by range; a bucket answers which of them another
    chunk has too. All other suffixes are alone, and stay where they are.
-3. The suffixes that are left go, once for equal ones of a chunk, to buckets by sampled splitters over their leading
-   bytes. A bucket sorts them by a multikey quicksort, word by word, and settles each gram's starts: the smallest
-   doc_id that has each string. Splitters are whole grams, so no string is on both sides of a boundary.
-4. The answers, some bits for each start, go back to the chunks, which cut.
+3. The suffixes that are left go, once for equal ones of a chunk, to ranges by sampled splitters over their leading
+   bytes; the splitters are at most RANGES, so beyond that a range falls into buckets by a hash of the gram. A bucket
+   sorts its suffixes by a multikey quicksort, word by word until they differ, and compares neighbours: strings that
+   begin o bytes before their anchors are equal where the neighbours' common prefixes reach length - o bytes and the o
+   bytes before agree. The smallest doc_id of each string is settled there.
+4. Strings whose suffix begins as a splitter does may be on both sides of it. Buckets send these, once each, to meet by
+   their bytes, and get the smallest doc_id over all buckets back before they settle. So a gram that is in very many
+   different surroundings spreads over as many buckets as it fills.
+5. The answers, some bits for each start, go back to the chunks, which cut.
 
 A passage that a third of all documents share reaches a bucket once for each chunk, not for each document.
 """
@@ -32,9 +37,10 @@ from pixelith.llm.common import arrow_limits, checkpointed, expand, mixed, relea
 GRAM = 24
 #: Bytes of text in a chunk, unless a document is longer; bytes of text for each bucket.
 CHUNK, BUCKET = 2 << 20, 8 << 20
-#: Chunks that splitters are sampled from, and grams of each.
-SAMPLE_CHUNKS, SAMPLE_GRAMS = 2000, 200
-PLACE_BITS = 28
+#: Chunks that splitters are sampled from, suffixes of each, and the most ranges between splitters (50 bytes each, broadcast).
+SAMPLE_CHUNKS, SAMPLE_GRAMS, RANGES = 2000, 200, 16_384
+#: Bytes whose gram hashes are worked out at once, and the bits that tell a place among them.
+SLAB, PLACE_BITS = 4 << 20, 28
 BYTE = mixed(np.arange(256, dtype=np.uint64), 5)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -74,15 +80,20 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np
     if not len(starts):
         return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     mask = np.uint64((1 << PLACE_BITS) - 1)
-    hashes = gram_hashes(raw)
-    least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
-    width, size = length - GRAM + 1, 1
-    while size * 2 <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < width:
-        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-    place = (least[starts] & mask).astype(np.int64)
+    place = np.empty(len(starts), np.int64)
+    for at in range(0, len(raw), SLAB):
+        lo, hi = np.searchsorted(starts, [at, at + SLAB])
+        if lo == hi:
+            continue
+        hashes = gram_hashes(raw[at : at + SLAB + length - 1])
+        least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
+        width, size = length - GRAM + 1, 1
+        while size * 2 <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < width:
+            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+        place[lo:hi] = (least[starts[lo:hi] - at] & mask).astype(np.int64) + at
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     return np.diff(np.append(first, len(starts))).astype(np.uint8), (place[first] - starts[first]).astype(np.uint8)
 
@@ -143,7 +154,11 @@ class Chunk:
         self.doc = np.searchsorted(total, at, "right") - 1
         self.first = at + (ends[:-1] - total[:-1])[self.doc] if len(at) else np.zeros(0, np.int64)
         self.anchor = self.first + ahead
-        self.hash = gram_hashes(raw, self.anchor) >> np.uint64(16)
+        self.hash = np.zeros(len(self.anchor), np.uint64)
+        for at in range(0, len(raw), SLAB):  # anchors ascend
+            lo, hi = np.searchsorted(self.anchor, [at, at + SLAB])
+            if lo < hi:
+                self.hash[lo:hi] = gram_hashes(raw[at : at + SLAB + GRAM - 1], self.anchor[lo:hi] - at) >> np.uint64(16)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes of the anchors, and of each whether two documents of this chunk have it."""
@@ -186,44 +201,91 @@ class Chunk:
 
 
 def leads(rows: np.ndarray, length: int) -> np.ndarray:
-    """The gram of each suffix row."""
+    """The suffix that each row holds, from its anchor on; bytes that its run doesn't cover are 0."""
     at = length - GRAM
-    return np.ascontiguousarray(rows[:, at : at + GRAM])
-
-
-def settle(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """For suffix rows with their doc_ids: bits, one for each distance from a start to the anchor, set if the string
-    there has a smaller doc_id too. n x ceil(width / 8) bytes."""
-    width = length - GRAM + 1
-    span = width - 1 + length
-    out = np.zeros((len(rows), width), bool)
-    grams = leads(rows, length).view(">u8").astype(np.uint64)
-    order, gram = multikey_sort(grams)
-    rows, docs = rows[order], docs[order]
-    by_doc = np.lexsort((docs, gram))  # inside a gram in order of doc_id
-    order, rows, docs, gram = order[by_doc], rows[by_doc], docs[by_doc], gram[by_doc]
-    first, which = classes(np.concatenate([rows.view(np.uint64), gram[:, None].astype(np.uint64)], axis=1))
-    out[order] = (docs > docs[first][which])[:, None]  # the whole run is in a smaller document
-    # strings of different runs with one gram
-    alone = np.bincount(gram[first])[gram[first]] < 2
-    left = np.sort(first[~alone])
-    lead, last = rows[left, span].astype(np.int64), rows[left, span + 1].astype(np.int64)
-    with np.errstate(over="ignore"):
-        for o in range(width):
-            some = left[(lead >= o) & (last <= o)]
-            if not len(some):
-                continue
-            text = rows[some, width - 1 - o : width - 1 - o + length]
-            words = np.zeros((len(some), -(-length // 8) * 8), np.uint8)
-            words[:, :length] = text
-            one, group = classes(np.concatenate([words.view(np.uint64), gram[some, None].astype(np.uint64)], axis=1))
-            least = np.full(len(one), np.iinfo(np.int64).max)
-            np.minimum.at(least, group, docs[some])
-            out[order[some], o] |= least[group] < docs[some]
-    # equal runs of one document share the answer of the first
-    same = docs == docs[first][which]
-    out[order[same]] = out[order[first[which[same]]]]
-    return np.packbits(out, axis=1, bitorder="little")
+    return np.ascontiguousarray(rows[:, at : at + length])
+
+
+def in_words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of words that compare as the bytes do."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(">u8").astype(np.uint64)
+
+
+class Sorted:
+    """The distinct suffix rows of a bucket in suffix order, each with its smallest doc_id and with the length of the
+    prefix that its suffix has in common with the one before it."""
+
+    def __init__(self, rows: np.ndarray, docs: np.ndarray, length: int):
+        self.length, self.width = length, length - GRAM + 1
+        span = self.width - 1 + length
+        order, which = multikey_sort(in_words(np.concatenate([leads(rows, length), rows[:, : self.width - 1], rows[:, span : span + 2]], axis=1)))
+        self.all_docs, self.which = docs, np.empty(len(rows), np.int64)
+        self.which[order] = which
+        first = order[np.flatnonzero(np.diff(which, prepend=-1))]
+        self.rows = rows[first]
+        self.docs = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(self.docs, self.which, docs)
+        self.suffix = leads(self.rows, length)
+        differs = self.suffix[1:] != self.suffix[:-1]
+        self.common = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), length)])
+        self.lead, self.last = self.rows[:, span].astype(np.int64), self.rows[:, span + 1].astype(np.int64)
+
+    def reach(self, cuts: list[bytes]) -> np.ndarray:
+        """How long a prefix the suffix of each row has in common with one of the cuts."""
+        out = np.zeros(len(self.rows), np.int64)
+        for cut in cuts:
+            differs = self.suffix != np.frombuffer(cut, np.uint8)
+            out = np.maximum(out, np.where(differs.any(axis=1), differs.argmax(axis=1), self.length))
+        return out
+
+    def strings(self, o: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of `among` that have a start o bytes before the anchor; the class of each, rows of one class having
+        the same string there; the smallest doc_id of each class. The common prefixes of neighbours tell the part from
+        the anchor on, a sort the bytes before it."""
+        some = np.flatnonzero(among & (self.lead >= o) & (self.last <= o))
+        group = np.cumsum(self.common < self.length - o)[some]
+        which = np.empty(len(some), np.int64)
+        if len(some):
+            before = in_words(self.rows[some, self.width - 1 - o : self.width - 1])
+            order, sorted_ = multikey_sort(np.concatenate([group[:, None].astype(np.uint64), before], axis=1))
+            which[order] = sorted_
+        least = np.full(int(which.max()) + 1 if len(some) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(least, which, self.docs[some])
+        return some, which, least
+
+    def text(self, row: int, o: int) -> bytes:
+        return self.rows[row, self.width - 1 - o : self.width - 1 - o + self.length].tobytes()
+
+    def edges(self, cuts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The distinct strings whose suffix begins as one of the cuts does, and the smallest doc_id of each."""
+        reach = self.reach(cuts)
+        strings: list[bytes] = []
+        docs: list[int] = []
+        for o in range(self.width):
+            some, which, least = self.strings(o, reach >= self.length - o)
+            strings += [self.text(r, o) for r in some[np.unique(which, return_index=True)[1]].tolist()]
+            docs += least.tolist()
+        return strings, docs
+
+    def settle(self, cuts: list[bytes], outer: dict[bytes, int]) -> np.ndarray:
+        """For the rows as they were given: bits, one for each distance from a start to the anchor, set if the string there
+        has a smaller doc_id too, here or by `outer`, the smallest doc_id over all buckets of strings at the cuts."""
+        out = np.zeros((len(self.rows), self.width), bool)
+        reach = self.reach(cuts if outer else [])
+        near = self.common >= GRAM
+        near[:-1] |= near[1:]
+        for o in range(self.width):
+            edge = reach >= self.length - o
+            some, which, least = self.strings(o, near | (edge if outer else False))
+            if outer:
+                for r, c in {c: r for r, c in zip(some[edge[some]].tolist(), which[edge[some]].tolist(), strict=True)}.items():
+                    least[r] = min(least[r], outer.get(self.text(c, o), least[r]))
+            out[some, o] = least[which] < self.docs[some]
+        bits = out[self.which]
+        bits[self.all_docs > self.docs[self.which]] = True  # a smaller document has the whole run
+        return np.packbits(bits, axis=1, bitorder="little")
 
 
 def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ("doc_id",), out: str = "kept", prefix: str = "", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
@@ -234,11 +296,14 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
     cut go as well. Strings are judged on the input and overlap. A null text is empty; texts shorter than `length`
     stay whole; a null key is larger than any other, and rows of equal key don't remove from each other. length is
     from GRAM + 1 to 2 * GRAM + 200. A worker holds one chunk, so a single document takes about 100 times its bytes.
+    An empty table gives an empty one. A column of `extra` that is called like a result is an error: give a prefix.
     """
     if not GRAM < length <= 2 * GRAM + 200:
         raise ValueError("length")
+    if {c.lower() for c in extra} & {(prefix + n).lower() for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", out)}:
+        raise ValueError("a column of extra is called like a result")
     spark = docs.sparkSession
-    arrow_limits(spark, 1000, 4)
+    arrow_limits(spark)
     carried = [f for f in docs.schema.fields if f.name in extra]
     rest = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)])
     work = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.col(text).alias("_text"), F.struct(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(carried)]).alias("_rest"))
@@ -294,11 +359,21 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
             for one, _ in loaded(batch):
                 if len(one.anchor):
                     some = one.anchor[np.linspace(0, len(one.anchor) - 1, SAMPLE_GRAMS).astype(np.int64)]
-                    grams = np.ascontiguousarray(one.raw[some[:, None] + np.arange(GRAM)])
-                    yield pa.RecordBatch.from_arrays([pa.array([grams.tobytes()], pa.binary())], names=["grams"])
-
-    def bucket_of(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, grams.view(f"S{GRAM}").reshape(-1), "right") if len(cuts) else np.zeros(len(grams), np.int64)
+                    padded = np.concatenate([one.raw, np.zeros(length, np.uint8)])
+                    suffixes = np.ascontiguousarray(padded[some[:, None] + np.arange(length)])
+                    yield pa.RecordBatch.from_arrays([pa.array([suffixes.tobytes()], pa.binary())], names=["suffixes"])
+
+    def bucket_of(suffixes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The bucket of each suffix: its range between the cuts, and inside it, if ranges hold several, by its gram."""
+        at = np.searchsorted(cuts, suffixes.view(f"S{length}").reshape(-1), "right") if len(cuts) else np.zeros(len(suffixes), np.int64)
+        if fine == 1 or not len(suffixes):
+            return at
+        return at * fine + (mixed(in_words(suffixes[:, :GRAM])[:, 0] ^ mixed(in_words(suffixes[:, 8:GRAM])[:, 0] ^ mixed(in_words(suffixes[:, 16:GRAM])[:, 0]))) % np.uint64(fine)).astype(np.int64)
+
+    def cuts_of(bucket: int, cuts: np.ndarray) -> list[bytes]:
+        """The cuts on either side of a bucket's range, filled up with bytes 0 as S strings have them."""
+        at = bucket // fine
+        return [bytes(cuts[i]).ljust(length, b"\0") for i in (at - 1, at) if 0 <= i < len(cuts)]
 
     def say_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,25 +409,42 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
         return shared
 
     def say_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.frombuffer(sent.value, f"S{GRAM}")
+        cuts = np.frombuffer(sent.value, f"S{length}")
         for batch in batches:
             for one, more in loaded(batch):
                 _, rows, ids, _ = one.chosen(shared_of(one, more["answers"]))
                 bucket = bucket_of(leads(rows, length), cuts)
                 order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-                parts = [(b, order[x:y]) for b, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+                at = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist() if len(order) else []
+                parts = [(int(bucket[order[x]]), order[x:y]) for x, y in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "chunk": pa.array([more["chunk"].as_py()] * len(parts), pa.int64()), "rows": pa.array([squeeze(rows[i].tobytes()) for _, i in parts], pa.binary()), "ids": pa.array([squeeze(ids[i].tobytes()) for _, i in parts], pa.binary())})
 
-    def decided(group: pa.Table) -> pa.Table:
+    def bucketful(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
+        """A bucket's suffix rows, by chunk, their doc_ids, and the bucket's cuts."""
         wide = -(-(2 * length - GRAM + 2) // 8) * 8
         rows = [np.frombuffer(expand(x.as_buffer()), np.uint8).reshape(-1, wide) for x in group.column("rows")]
         ids = np.concatenate([np.frombuffer(expand(x.as_buffer()), np.int64) for x in group.column("ids")])
-        bits = np.split(settle(np.concatenate(rows), ids, length), np.cumsum([len(r) for r in rows])[:-1])
+        return rows, ids, cuts_of(group.column("bucket")[0].as_py(), np.frombuffer(sent.value, f"S{length}"))
+
+    def edged(group: pa.Table) -> pa.Table:
+        parts, ids, cuts = bucketful(group)
+        rows = np.concatenate(parts)
+        at_cut = np.zeros(len(rows), bool)
+        for cut in cuts:
+            at_cut |= (leads(rows, length)[:, :GRAM] == np.frombuffer(cut[:GRAM], np.uint8)).all(axis=1)
+        strings, docs = Sorted(rows[at_cut], ids[at_cut], length).edges(cuts) if at_cut.any() else ([], [])
+        return pa.table({"string": pa.array(strings, pa.binary()), "doc": pa.array(docs, pa.int64()), "at": pa.array([group.column("bucket")[0].as_py()] * len(docs), pa.int32())})
+
+    def decided(group: pa.Table, outer: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+        parts, ids, cuts = bucketful(group)
+        known = dict(zip(outer.column("string").to_pylist(), outer.column("doc").to_pylist(), strict=True))
+        bits = np.split(Sorted(np.concatenate(parts), ids, length).settle(cuts, known), np.cumsum([len(r) for r in parts])[:-1])
         return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "bits": pa.array([squeeze(b.tobytes()) for b in bits], pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.frombuffer(sent.value, f"S{GRAM}")
+        cuts = np.frombuffer(sent.value, f"S{length}")
         width = length - GRAM + 1
         for batch in batches:
             for one, more in loaded(batch):
@@ -360,9 +452,10 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
                 bits = np.zeros((len(rows), width), bool)
                 bucket = bucket_of(leads(rows, length), cuts)
                 order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                in_order = bucket[order]
                 for a in more["decided"].as_py() or []:
-                    some = order[at[a["bucket"]] : at[a["bucket"] + 1]]
+                    lo, hi = np.searchsorted(in_order, [a["bucket"], a["bucket"] + 1])
+                    some = order[lo:hi]
                     bits[some] = np.unpackbits(np.frombuffer(expand(a["bits"]), np.uint8).reshape(len(some), -1), axis=1, count=width, bitorder="little")
                 cover = np.zeros(len(one.raw) + 1, np.int32)
                 if len(runs_):
@@ -402,17 +495,22 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
 
     result = T.StructType([*carried, *[T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField(prefix + "kept_sha256", T.StringType()), T.StructField(prefix + out, T.StringType())])
     some = chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS) if total.c > SAMPLE_CHUNKS else chunks
-    grams = [np.frombuffer(r.grams, f"S{GRAM}") for r in some.select(*slim).mapInArrow(sampled, "grams binary").toLocalIterator()]
-    grams = np.sort(np.concatenate(grams)) if grams else np.zeros(0, f"S{GRAM}")
-    cuts = np.unique(grams[np.linspace(0, len(grams) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(grams) else grams
-    sent = spark.sparkContext.broadcast(cuts.tobytes())  # a gram for each bucket
+    suffixes = [np.frombuffer(r.suffixes, f"S{length}") for r in some.select(*slim).mapInArrow(sampled, "suffixes binary").toLocalIterator()]
+    suffixes = np.sort(np.concatenate(suffixes)) if suffixes else np.zeros(0, f"S{length}")
+    ranges = min(buckets, RANGES)
+    fine = -(-buckets // ranges)  # buckets of a range
+    cuts = np.unique(suffixes[np.linspace(0, len(suffixes) - 1, ranges + 1).astype(np.int64)[1:-1]]) if len(suffixes) else suffixes
+    sent = spark.sparkContext.broadcast(cuts.tobytes())  # `length` bytes for each of RANGES cuts at most
     said = chunks.select(*slim).mapInArrow(say_grams, "bucket int, chunk long, grams binary")
     shared = checkpointed(said.groupBy("bucket").applyInArrow(common, "chunk long, bucket int, bits binary"))
     released(spark)
     answers = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     asked = chunks.select(*slim).join(answers, "chunk", "left").select(*slim, "answers")
+    # both uses of told read one exchange
     told = asked.mapInArrow(say_suffixes, "bucket int, chunk long, rows binary, ids binary")
-    done = checkpointed(told.groupBy("bucket").applyInArrow(decided, "chunk long, bucket int, bits binary"))
+    edges = told.groupBy("bucket").applyInArrow(edged, "string binary, doc long, at int").groupBy("string").agg(F.min("doc").alias("doc"), F.collect_set("at").alias("ats"))
+    outer = edges.where(F.size("ats") > 1).select(F.explode("ats").alias("bucket"), "string", "doc")
+    done = checkpointed(told.groupBy("bucket").cogroup(outer.groupBy("bucket")).applyInArrow(decided, "chunk long, bucket int, bits binary"))
     released(spark)
     both = answers.join(done.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("decided")), "chunk", "full")
     return chunks.join(both, "chunk", "left").select(*slim, "rest", "answers", "decided").mapInArrow(cut, result)

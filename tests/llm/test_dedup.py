@@ -150,6 +150,33 @@ def test_suffix_dedup(spark, length, chunk, bucket):
     assert cut(df, length=length, chunk_bytes=chunk, bucket_bytes=bucket) == brute_cut(pairs, length)
 
 
+@pytest.mark.parametrize("ranges", [16_384, 3])
+def test_a_hot_gram_spreads_over_buckets(spark, monkeypatch, ranges):
+    """One gram in many surroundings, equal strings on both sides of splitters, and ranges of several buckets."""
+    monkeypatch.setattr(suffix_dedup, "RANGES", ranges)
+    rnd = random.Random(9)
+    word = "".join(rnd.choice("pqrst") for _ in range(40))
+    heads, tails = (["".join(rnd.choice("uvwxyz") for _ in range(30)) for _ in range(12)] for _ in range(2))
+    texts = [rnd.choice(heads)[rnd.randrange(20) :] + word[rnd.randrange(3) :] + rnd.choice(tails)[: rnd.randrange(5, 30)] for _ in range(300)]
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(6)
+    assert cut(df, chunk_bytes=500, bucket_bytes=200) == brute_cut(pairs, 50)
+
+
+def test_slabs_leave_no_trace(monkeypatch):
+    raw = np.frombuffer(("abcabcabc" * 50 + "xyz" * 90).encode(), np.uint8)
+    ends = np.array([0, 200, 200, len(raw)])
+    whole = suffix_dedup.runs(raw, ends, 50)
+    monkeypatch.setattr(suffix_dedup, "SLAB", 64)
+    parts = suffix_dedup.runs(raw, ends, 50)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_results_that_clash_need_a_prefix(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(docs, extra=("doc_id", "n_bytes"))
+
+
 def test_suffix_dedup_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     pairs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
