@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that score below 0.5; learned from the labelled ones that op4 learns from. A null text stays."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     out = spare("_toxicity", docs.columns)
-    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, out=out).where(F.col("text").isNull() | (F.col(out) < 0.5)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows in mixed order: each source's share of the bytes is its size to the power TEMPERATURE, by blocks."""
+    """The rows in mixed order: each source's share of the bytes is its size to the power TEMPERATURE, by blocks. A null
+    source is a source; rows of one doc_id share the place of the first; a null text is an empty one; no rows give none."""
     return mixing.mixed_documents(docs, temperature=TEMPERATURE)
 
 
@@ -59,7 +60,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """slot, offset, doc_id, source, n_tokens, ids_sha256, decoded_sha256 and the ids themselves, in mixed order.
 
     A table read back has no order of its own, so the place of each row is worked out again: it depends on the rows
-    alone and is that of mix_sources. Sorting by (slot, offset) gives the mixed order wherever the rows are read.
+    alone and is that of mix_sources. Sorting by (slot, offset) gives the mixed order wherever the rows are read. A null
+    text has no tokens; repeated rows stay; no rows give none.
     """
     placed = mixing.mixed_documents(docs.select("doc_id", "source", "text"), place=("slot", "offset"), temperature=TEMPERATURE)
     return pieces.round_trip(placed, public_tokenizers.path("piece_bpe_32k.model"), extra=("slot", "offset", "doc_id", "source"), with_ids=True)

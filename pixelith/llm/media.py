@@ -21,8 +21,10 @@ UNIT = 64
 RATE = 8000
 #: Samples of a frame, and from one frame to the next.
 FRAME, HOP = 128, 64
-#: A peak is paired with this many peaks after it, at most REACH frames later.
-FAN, REACH = 3, 63
+#: Bins of the bands, each of which has a frame's strongest bin as a candidate (the mean and the last bin are in none).
+BANDS = ((1, 9), (9, 25), (25, 64))
+#: A peak is paired with this many peaks after it in order of frame and bin, 1 to REACH frames later.
+FAN, REACH = 5, 63
 #: Frames that are transformed at once.
 FRAMES = 1 << 15
 WINDOW = np.hanning(FRAME)
@@ -49,7 +51,7 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame and bin of each frame's strongest bin that tops its neighbours in frequency and in time.
+    """Frame and bin of the peaks, in that order: a band's strongest bin that tops its neighbours in frequency and in time.
 
     samples: unsigned 8-bit; less than a frame is filled up with silence. Frames are transformed in blocks that
     overlap by one frame on each side, so a recording of any length needs memory for one block only, and the
@@ -63,17 +65,20 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = max(0, start - 1), min(count, start + FRAMES + 1)
         part = samples[lo * HOP : (hi - 1) * HOP + FRAME].astype(np.float64) - 128.0
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        power = np.abs(np.fft.rfft(frames * WINDOW, axis=1))[:, 1:-1]  # without the mean and the last bin
-        best = power.argmax(axis=1)
-        top = power[np.arange(len(best)), best]
-        strong = top > 1e-9
-        earlier = np.concatenate([[0.0], power[np.arange(len(best) - 1), best[1:]]])
-        later = np.concatenate([power[np.arange(1, len(best)), best[:-1]], [0.0]])
-        keep = np.flatnonzero(strong & (top >= earlier) & (top > later)) + lo
-        keep = keep[(keep >= start) & (keep < start + FRAMES)]
-        when.append(keep)
-        which.append(best[keep - lo] + 1)
-    return np.concatenate(when), np.concatenate(which)
+        power = np.abs(np.fft.rfft(frames * WINDOW, axis=1))
+        row = np.arange(len(power))
+        for first, last in BANDS:
+            best = power[:, first:last].argmax(axis=1) + first
+            top = power[row, best]
+            earlier = np.concatenate([[0.0], power[row[:-1], best[1:]]])
+            later = np.concatenate([power[row[1:], best[:-1]], [0.0]])
+            keep = (top > 1e-9) & (top >= earlier) & (top > later) & (top >= power[row, best - 1]) & (top >= power[row, best + 1])
+            keep &= (row + lo >= start) & (row + lo < start + FRAMES)
+            when.append(row[keep] + lo)
+            which.append(best[keep])
+    time, place = np.concatenate(when), np.concatenate(which)
+    order = np.lexsort((place, time))
+    return time[order], place[order]
 
 
 def prints(when: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def prints(when: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     codes, times = [], []
     for step in range(1, FAN + 1):
         gap = when[step:] - when[:-step]
-        near = gap <= REACH
+        near = (gap >= 1) & (gap <= REACH)
         codes.append((which[:-step] << 12 | which[step:] << 6 | gap)[near])
         times.append(when[:-step][near])
     code, time = np.concatenate(codes), np.concatenate(times)
@@ -95,7 +100,8 @@ def media_columns(docs: DataFrame, *, text: str = "text", extra: tuple[str, ...]
     n_bytes (UTF-8, a null text: 0), payload_bytes and payload_sha256 (the samples read back), tail_crc32 (their
     last 64), media_bytes and media_sha256 (the WAV), feature (numbers of peaks and pairs, digest of the prints).
     With media also the WAV itself, with arrays also print_codes and print_times: the time-coded fingerprint.
-    One pass without a shuffle; rows are independent, so equal texts have equal values and repeated rows stay.
+    One pass without a shuffle; rows are independent, so equal texts have equal values, repeated rows stay, and an empty
+    table gives an empty one. A text longer than a batch is a batch by itself, in about 10 times its bytes.
     Only text and `extra` are read. A batch is bounded by Arrow's limits, a transform by FRAMES.
     """
     arrow_limits(docs.sparkSession)

@@ -45,7 +45,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"))
+    return media.media_columns(table(spark, sf_dir, "documents"), arrays=True)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

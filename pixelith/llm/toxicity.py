@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-A text is lower-cased (A-Z and the Latin-1 capitals), all but letters and bytes beyond ASCII become spaces, runs
-of spaces become one. Its features are the distinct n-grams of bytes, hashed into 2 ** BITS places. Training takes
-the place's log ratio of smoothed document frequencies in the two classes, r, then fits a logistic regression on
+A text is taken by its characters: letters of any script in lower case, all other characters of the basic plane spaces,
+runs of spaces one space. Its features are the distinct n-grams of characters, hashed into 2 ** BITS places. Training
+takes the place's log ratio of smoothed document frequencies in the two classes, r, then fits a logistic regression on
 r-scaled presence. Both run on a bounded sample of labelled rows, on the driver; scoring covers every whole text.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,46 +20,54 @@ from pyspark.sql import functions as F
 from pixelith.llm.common import arrow_limits, distinct, expand, passes, scratch, spare, squeeze, stored, text_buffers
 
 BITS = 22
-SIZES = (4, 6, 8)
+SIZES = (3, 5, 7)
 #: Tasks that count the training sample's places, and the parts that the places fall into to be added up.
 BAG_TASKS, SLICES = 12, 16
-#: Bytes as the features see them: letters in lower case, bytes beyond ASCII as they are, all else a space.
-FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
-MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Characters whose n-grams are hashed at once.
+SLAB = 1 << 20
+MULTIPLY, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+@lru_cache(1)
+def fold() -> np.ndarray:
+    """For each character of the basic plane: itself in lower case if it is a letter, else a space."""
+    low = [chr(c).lower() if chr(c).isalpha() else " " for c in range(1 << 16)]
+    return np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32)
 
 
 def folded(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The folded bytes of several texts, each with a space before and after, and the text of each byte."""
+    """The folded characters of several texts, each with a space before and after, and the text of each character."""
     n = len(ends) - 1
-    sizes = np.diff(ends) + 2
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[ends]
+    sizes = np.diff(chars) + 2
     at = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(n), sizes)
-    out = np.full(at[-1], 32, np.uint8)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    out = np.full(at[-1], 32, np.uint32)
     inside = np.ones(at[-1], bool)
     inside[at[:-1]] = inside[at[1:] - 1] = False
-    out[inside] = FOLD[raw]
-    capital = np.flatnonzero((out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)) + 1
-    out[capital] += 32
+    out[inside] = np.where(points < 1 << 16, fold()[np.minimum(points, (1 << 16) - 1)], points)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32) | (owner[1:] != owner[:-1])
     return out[keep], owner[keep]
 
 
 def places(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size of n-gram: the place and the text of every n-gram, repeats included."""
+    """For each size of n-gram, SLAB by SLAB: the place and the text of every n-gram, repeats included."""
     text, owner = folded(raw, ends)
-    code = text.astype(np.uint64)
     with np.errstate(over="ignore"):
         for n in SIZES:
-            if len(text) < n:
-                continue
-            m = len(text) - n + 1
-            packed = np.zeros(m, np.uint64)
-            for k in range(n):
-                packed |= code[k : k + m] << np.uint64(8 * k)
-            whole = owner[:m] == owner[n - 1 :]
-            hashed = ((packed + np.uint64(n)) * MULTIPLY) >> np.uint64(64 - BITS)
-            yield hashed[whole].astype(np.int64), owner[:m][whole]
+            for at in range(0, len(text) - n + 1, SLAB):
+                code = text[at : at + SLAB + n - 1].astype(np.uint64)
+                whose = owner[at : at + SLAB + n - 1]
+                m = len(code) - n + 1
+                mixed_ = np.zeros(m, np.uint64)
+                for k in range(n):
+                    mixed_ = mixed_ * MULTIPLY + code[k : k + m]
+                mixed_ = (mixed_ + np.uint64(n)) * FINISH
+                mixed_ ^= mixed_ >> np.uint64(32)
+                whole = whose[:m] == whose[n - 1 :]
+                yield ((mixed_ * FINISH) >> np.uint64(64 - BITS))[whole].astype(np.int64), whose[:m][whole].astype(np.int64)
 
 
 def features(column: pa.Array) -> list[np.ndarray]:
@@ -228,8 +237,10 @@ def _train(docs: DataFrame, labels: DataFrame, allowed: Column, toxic_rows: int,
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds the model's score of each whole text, 0 to 1; a null text scores as an empty one.
+    """Adds the model's score of each whole text, 0 to 1; a null text scores as an empty one, equal texts alike.
 
+    Repeated rows stay, an empty table stays empty; a column that is called like `out` gives way to the score. A worker
+    holds a pass of texts, or one longer text, in some 20 bytes for each of its own.
     Other columns pass through (keep: only those). Nothing but the text enters. The places that weigh something, some
     thousands at any size of the corpus, go to each task; all others drop out before repeats are removed.
     """

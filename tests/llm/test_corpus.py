@@ -41,11 +41,6 @@ def test_plan_uses_every_block_once():
     assert mixing.plan([1, 2], [0, 0]) == []
 
 
-def test_whole_weights():
-    assert sum(mixing.whole_weights([1, 1, 1])) == 1000 and mixing.whole_weights([0, 1])[0] == 0
-    assert min(mixing.whole_weights([1e9, 1])) == 1
-
-
 def lags(target, blocks, slots):
     """Per source, in blocks: the share of unrounded targets less what was served, after each slot while all last."""
     both = [np.array(slots[s]) for s in range(len(target))]
@@ -112,6 +107,14 @@ def test_sources_beyond_the_lanes_share_one(spark, monkeypatch):
     assert len(got) == 100 and {r.lane for r in got} == {0, 1, 2} and min(r.slot for r in got) == 0
 
 
+def test_a_null_source_is_not_the_empty_one(spark):
+    rows = [(i, "t" * 15, (None, "", "a")[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, {None: 3.0, "a": 1.0}, block_bytes=16).collect()
+    first = [r.source for r in got if r.slot < 40]
+    assert (first.count(None), first.count("a"), first.count("")) == (30, 10, 0)
+
+
 def test_every_source_is_scheduled(spark):
     rows = [(i, "t" * 15, None if i % 300 == 299 else f"s{i % 300}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -207,11 +210,36 @@ def test_a_group_larger_than_a_shard_is_split(spark):
 
 def test_packing_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_GROUPS", 20)
+    monkeypatch.setattr(sharding, "RANGES", 3)
     got = sharding.shard(spark.read.parquet(f"{SF}/documents.parquet"), 4).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     sizes = [r.n for r in got]
     assert len(sizes) == 4 and max(sizes) - min(sizes) < 0.1 * sum(sizes) / 4
 
 
+def test_packing_against_a_plain_one():
+    """The highest dot product with what is left, largest first, written out."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(1, 100, (60, 3)).astype(float)
+    share, weight = v.sum(axis=0) / 5, sharding.WEIGHTS
+    left, want = np.ones((5, 3)), {}
+    for i in sorted(range(60), key=lambda i: (-(v[i] / share * weight).max(), i)):
+        want[i] = int(np.argmax([(v[i] / share * weight * left[b]).sum() for b in range(5)]))
+        left[want[i]] -= v[i] / share
+    assert sharding.pack(v, 5).tolist() == [want[i] for i in range(60)]
+
+
+def test_given_token_counts_are_balanced(spark):
+    df = spark.createDataFrame([(i, f"text {i:04d}", 1000 if i < 40 else 1) for i in range(400)], "doc_id long, text string, n long")
+    got = sharding.shard(df, 4, tokens=F.col("n")).groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.sum("size").alias("b")).collect()
+    assert len(got) == 4 and max(r.n for r in got) < 1.2 * min(r.n for r in got) and max(r.b for r in got) < 1.05 * min(r.b for r in got)
+
+
+def test_tokens_by_pattern(spark):
+    texts = ["", None, "two words", "internationalisation", "中文字", "a1234, b!", "é́x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in sharding.shard(df, 2).collect()} == {0: 0, 1: 0, 2: 2, 3: 4, 4: 3, 5: 6, 6: 1}
+
+
 # --- media -----------------------------------------------------------------------------------------------------
 
 
@@ -238,11 +266,43 @@ def test_blocks_of_frames_leave_no_trace(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, media.peaks(x), strict=True))
 
 
+def plain_prints(samples):
+    """Peaks and prints by loops and a transform written out."""
+    x = np.array(samples, float) - 128 if len(samples) >= 128 else np.concatenate([np.array(samples, float) - 128, np.zeros(128 - len(samples))])
+    n = (len(x) - 128) // 64 + 1
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(65), np.arange(128)) / 128)
+    power = [np.abs(turn @ (x[64 * i : 64 * i + 128] * np.hanning(128))) for i in range(n)]
+    found = []
+    for i in range(n):
+        for lo, hi in ((1, 9), (9, 25), (25, 64)):
+            b = max(range(lo, hi), key=lambda k: (power[i][k], -k))
+            v = power[i][b]
+            before, after = power[i - 1][b] if i else 0, power[i + 1][b] if i + 1 < n else 0
+            if v > 1e-9 and v >= before and v > after and v >= power[i][b - 1] and v >= power[i][b + 1]:
+                found.append((i, b))
+    pairs = []
+    for j, (t, b) in enumerate(found):
+        pairs += [(t, b << 12 | b2 << 6 | t2 - t) for t2, b2 in found[j + 1 : j + 6] if 1 <= t2 - t <= 63]
+    return found, sorted(pairs)
+
+
+def test_prints_against_loops(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()]
+    for text in [*texts, "", "short", "a sentence that is a little longer than the others " * 30]:
+        raw = np.frombuffer(media.payload((text or "").encode()), np.uint8)
+        found, pairs = plain_prints(raw)
+        when, which = media.peaks(raw)
+        code, time = media.prints(when, which)
+        assert list(zip(when.tolist(), which.tolist(), strict=True)) == found
+        assert list(zip(time.tolist(), code.tolist(), strict=True)) == pairs
+
+
 def test_a_tone_has_its_peak():
     t = np.arange(8000)
     x = (128 + 60 * np.sin(2 * np.pi * 1000 * t / 8000) * np.hanning(8000)).astype(np.uint8)
-    _, which = media.peaks(x)
-    assert np.median(which) == 16  # 1000 Hz of 62.5 Hz bins
+    when, which = media.peaks(x)
+    strongest = [b for t, b in zip(when, which, strict=True) if 9 <= b < 25 and 20 < t < 100]
+    assert strongest and np.median(strongest) == 16  # 1000 Hz of 62.5 Hz bins
 
 
 # --- neighbours ------------------------------------------------------------------------------------------------
@@ -280,6 +340,35 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_isolated_queries_among_tight_groups(spark):
+    """Most vectors are in groups of near copies, so most distances of the sample are tiny; lone queries find theirs, too."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 16))
+    x = [centres[i % 60] + 1e-4 * rng.standard_normal(16) if i % 100 else rng.standard_normal(16) for i in range(3000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 100 == 0).collect()
+    ids, v = np.arange(3000), np.array(x)
+    hit = sum(len({i for i, _ in exact(ids, v, q)} & {r.vec_id for r in got if r.query_id == q}) for q in range(0, 3000, 100))
+    assert len(got) == 300 and hit >= 270
+
+
+def test_thresholds_hold_the_share():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 12))
+    index = neighbours.fit(x, 500)
+    one, zero = index.chances(x[:5], 0)
+    least, best = index.thresholds(one, zero, 0.6)
+    cells = np.array([[c >> j & 1 for j in range(24)] for c in rng.integers(0, 1 << 24, 4000)])
+    whole = neighbours.spread_out(one[:, :8], zero[:, :8])
+    assert np.allclose(np.exp(whole).sum(axis=1), 1)
+    for i in range(5):
+        p = np.exp(one[i])
+        drawn = rng.random((20_000, 24)) < p
+        chance = np.where(drawn, one[i], zero[i]).sum(axis=1)
+        assert abs((chance >= least[i]).mean() - 0.6) < 0.02
+        assert (np.where(cells, one[i], zero[i]).sum(axis=1) <= best[i].max() + 1e-9).all()
+
+
 def test_a_hot_cell_is_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     rng = np.random.default_rng(1)
