@@ -35,9 +35,11 @@ def to_wide(pixels: DataFrame) -> DataFrame:
 
 
 def planar_to_interleaved(pixels: DataFrame, planes: int) -> DataFrame:
-    """The position of each sample in a row-major interleaved buffer, as column `offset`. Needs image widths."""
-    width = Window.partitionBy("image_id")
-    return pixels.withColumn("offset", (F.col("row") * (F.max("col").over(width) + 1) + F.col("col")) * planes + F.col("plane"))
+    """The position of each sample in a row-major interleaved buffer, as column `offset`. The widths come from an aggregate
+    by image, which combines before its shuffle and is small."""
+    widths = pixels.groupBy(F.col("image_id").alias("_image")).agg((F.max("col") + 1).alias("_width"))
+    wide = pixels.join(widths, F.col("image_id") == F.col("_image")).withColumn("offset", (F.col("row") * F.col("_width") + F.col("col")) * planes + F.col("plane"))
+    return wide.drop("_image", "_width")
 
 
 def crop(pixels: DataFrame, top: int, left: int, bottom: int, right: int) -> DataFrame:
@@ -135,20 +137,41 @@ def is_green(row: Column, col: Column, phase: int) -> Column:
     return (row + col + phase + (phase >> 1)) % 2 == 0
 
 
-def _repair(targets: DataFrame, good: DataFrame, pixels: DataFrame, phase: int) -> DataFrame:
-    """Targets get the rounded mean of the good ones of four neighbours: across on green, two away otherwise."""
-    across, beside = [(-1, -1), (-1, 1), (1, -1), (1, 1)], [(-2, 0), (2, 0), (0, -2), (0, 2)]
-    offsets = [F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in some]) for some in (across, beside)]
-    wanted = targets.select("image_id", "row", "col", F.explode(F.when(is_green(F.col("row"), F.col("col"), phase), offsets[0]).otherwise(offsets[1])).alias("o"))
-    wanted = wanted.select("image_id", F.col("row").alias("_r"), F.col("col").alias("_c"), (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    sums = wanted.join(good.select("image_id", "row", "col", "value"), ["image_id", "row", "col"]).groupBy("image_id", F.col("_r").alias("row"), F.col("_c").alias("col")).agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    fixed = F.expr("case when _n = 4 then (_s + 2) div 4 else (_s + _n div 2) div _n end").cast("int")
-    return pixels.join(sums, ["image_id", "row", "col"], "left").withColumn("value", F.coalesce(fixed, F.col("value"))).drop("_s", "_n")
+def _repair(pixels: DataFrame, bad: Column, phase: int) -> DataFrame:
+    """Bad samples get the rounded mean of the good ones of four neighbours: across on green, two away otherwise.
+
+    A stencil by bands, like demosaic(): scanlines meet those up to two rows away, so the raster is shuffled once, by band,
+    whatever the number of bad samples. A scanline without a bad sample is passed on as it is.
+    """
+    lines = pixels.withColumn("_bad", bad).groupBy("image_id", "row", "plane").agg(F.array_sort(F.collect_list(F.struct("col", "value", "_bad"))).alias("_v"))
+    line = Window.partitionBy("image_id", "plane", "band").orderBy("row")
+    work = with_band(lines, 2)
+    for k in (1, 2):
+        for name, step in ((f"_u{k}", F.lag), (f"_d{k}", F.lead)):
+            there = step("row", k).over(line) == F.col("row") + (k if step is F.lead else -k)
+            work = work.withColumn(name, F.when(there, step("_v", k).over(line)))
+    work = work.where("own")
+
+    def look(x: Column, i: Column) -> Column:
+        def at(row: str, shift: int) -> Column:
+            near = F.get(F.col(row), i + shift)
+            return F.when(near["col"] == x["col"] + shift, F.when(~near["_bad"], near["value"]))
+
+        across = [at(r, s) for r in ("_u1", "_d1") for s in (-1, 1)]
+        beside = [at("_u2", 0), at("_d2", 0), at("_v", -2), at("_v", 2)]
+        near = F.filter(F.when(is_green(F.col("row"), x["col"], phase), F.array(*across)).otherwise(F.array(*beside)), lambda v: v.isNotNull())
+        total, n = F.aggregate(near, F.lit(0).cast("long"), lambda a, v: a + v.cast("long")), F.size(near)
+        mean = F.floor((total + F.when(n == 4, 2).otherwise(F.floor(n / 2))) / F.when(n > 0, n))
+        return F.when(x["_bad"] & (n > 0), mean.cast("int")).otherwise(x["value"].cast("int"))
+
+    hit = F.exists("_v", lambda x: x["_bad"])
+    work = work.withColumn("_new", F.when(hit, F.transform("_v", look)).otherwise(F.transform("_v", lambda x: x["value"].cast("int"))))
+    return work.select("image_id", "row", "plane", F.explode(F.arrays_zip(F.transform("_v", lambda x: x["col"]).alias("col"), F.col("_new").alias("value"))).alias("_s")).select("image_id", "row", F.col("_s.col").alias("col"), "plane", F.col("_s.value").alias("value"))
 
 
 def fix_constant(pixels: DataFrame, constant: int, phase: int = 0) -> DataFrame:
     """Repairs the samples that equal a constant, from neighbours that don't. One plane of whole numbers."""
-    return _repair(pixels.where(F.col("value") == constant), pixels.where(F.col("value") != constant), pixels, phase)
+    return _repair(pixels, F.col("value") == constant, phase)
 
 
 def flagged(pixels: DataFrame, points: Sequence[tuple[int, int]], rects: Sequence[tuple[int, int, int, int]]) -> Column:
@@ -163,8 +186,19 @@ def flagged(pixels: DataFrame, points: Sequence[tuple[int, int]], rects: Sequenc
 
 def fix_list(pixels: DataFrame, points: Sequence[tuple[int, int]] = (), rects: Sequence[tuple[int, int, int, int]] = (), phase: int = 0) -> DataFrame:
     """Repairs listed points and rectangles, from neighbours that are not listed."""
-    bad = flagged(pixels, points, rects)
-    return _repair(pixels.where(bad), pixels.where(~bad), pixels, phase)
+    return _repair(pixels, flagged(pixels, points, rects), phase)
+
+
+def listed(pixels: DataFrame, points: DataFrame, rects: DataFrame) -> DataFrame:
+    """The samples that a defect list of tables holds: points (image_id, row, col) by a semi join, rects (image_id, top, left,
+    bottom, right) by a range join inside bands of BAND rows, so that a rectangle meets the samples of its bands only."""
+    by_point = pixels.join(points.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_semi")
+    bands = F.explode(F.sequence(F.floor(F.col("top") / BAND).cast("int"), F.floor((F.col("bottom") - 1) / BAND).cast("int")))
+    spread = rects.where("top < bottom and left < right").select(F.col("image_id").alias("_i"), "top", "left", "bottom", "right", bands.alias("_b"))
+    banded = pixels.withColumn("_band", F.floor(F.col("row") / BAND).cast("int"))
+    inside = (F.col("image_id") == F.col("_i")) & (F.col("_band") == F.col("_b")) & F.expr("row >= top and row < bottom and col >= left and col < right")
+    by_rect = banded.join(spread, inside, "left_semi").drop("_band")
+    return by_point.unionByName(by_rect).dropDuplicates(["image_id", "row", "col", "plane"])
 
 
 def undo_differences(scanlines: DataFrame, step: int, bits: int) -> DataFrame:
@@ -204,41 +238,44 @@ def opaque_box(mask: DataFrame, most: float) -> DataFrame:
     return opaque.groupBy("image_id").agg(F.min("row").alias("top"), F.min("col").alias("left"), (F.max("row") + 1).alias("bottom"), (F.max("col") + 1).alias("right"))
 
 
+#: The edges of a rectangle (top, left, bottom, right) in the order in which a round tests them, and which way each moves.
+PEELED = ((0, 1), (2, -1), (1, 1), (3, -1))
+
+
+def peel(solid: np.ndarray) -> tuple[int, int, int, int] | None:
+    """The rectangle that is left of a 0/1 image when, round by round, each edge with a hole in it moves in by one; nothing
+    if none is left. A table of sums over all upper left corners tells the holes of an edge at once."""
+    holes = np.pad(np.cumsum(np.cumsum(~solid, axis=0), axis=1), ((1, 0), (1, 0)))
+    rect = np.array([0, 0, *solid.shape])
+    moved = True
+    while moved:
+        moved = False
+        for side, step in PEELED:
+            if rect[0] >= rect[2] or rect[1] >= rect[3]:
+                return None
+            strip = rect.copy()
+            strip[(side + 2) % 4] = rect[side] + step
+            (t, b), (l, r) = sorted(strip[::2]), sorted(strip[1::2])
+            if holes[b, r] - holes[t, r] - holes[b, l] + holes[t, l]:
+                rect[side] += step
+                moved = True
+    return None if rect[0] >= rect[2] or rect[1] >= rect[3] else tuple(int(x) for x in rect)
+
+
 def opaque_rect(mask: DataFrame, most: float, tolerance: float = 0.5) -> DataFrame:
-    """The rectangle that is left when rows and columns that are not wholly opaque are peeled off, one of each side a round.
+    """peel() of the samples that are opaque, most - tolerance at least: image_id, top, left, bottom, right.
 
-    The outcome of a round decides the next one, so an image is one group; only its 0/1 scanlines go there, as bits.
+    The outcome of a round decides the next one, so an image is one group; only its 0/1 scanlines go there.
     """
     bits = mask.groupBy("image_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", (F.col("value") >= most - tolerance).alias("o")))).alias("v")).select("image_id", "row", F.transform("v", lambda s: s["o"]).alias("o"))
 
-    def peel(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row")
-        solid = np.stack([np.asarray(o, bool) for o in group["o"]])
-        bad = np.zeros((solid.shape[0] + 1, solid.shape[1] + 1), np.int64)
-        bad[1:, 1:] = np.cumsum(np.cumsum(~solid, axis=0), axis=1)
-
-        def full(t: int, l: int, b: int, r: int) -> bool:
-            return bad[b, r] - bad[t, r] - bad[b, l] + bad[t, l] == 0
-
-        t, l, (b, r) = 0, 0, solid.shape
-        again = True
-        while again and t < b and l < r:
-            again = False
-            if not full(t, l, t + 1, r):
-                t, again = t + 1, True
-            if b > t and not full(b - 1, l, b, r):
-                b, again = b - 1, True
-            if t >= b:
-                break
-            if not full(t, l, b, l + 1):
-                l, again = l + 1, True
-            if r > l and not full(t, r - 1, b, r):
-                r, again = r - 1, True
-        if t >= b or l >= r:
-            return pd.DataFrame({"image_id": [], "top": [], "left": [], "bottom": [], "right": []}).astype("int64")
-        return pd.DataFrame({"image_id": [group["image_id"].iloc[0]], "top": [t], "left": [l], "bottom": [b], "right": [r]})
-
-    return bits.groupBy("image_id").applyInPandas(peel, "image_id long, top int, left int, bottom int, right int")
+        rect = peel(np.stack([np.asarray(o, bool) for o in group["o"]]))
+        found = [] if rect is None else [(group["image_id"].iloc[0], *rect)]
+        return pd.DataFrame(found, columns=["image_id", "top", "left", "bottom", "right"]).astype("int64")
+
+    return bits.groupBy("image_id").applyInPandas(run, "image_id long, top int, left int, bottom int, right int")
 
 
 def tiles(height: int, width: int, th: int, tw: int, df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -47,37 +48,19 @@ def encode_deflate(samples: np.ndarray, order: str = "<", level: int = 6) -> byt
     return zlib.compress(encode_raw(samples, order), level)
 
 
-class Bits:
-    """Bits of a JPEG scan, most significant first, without stuffed zeros; zeros after a marker or the end."""
+#: Bytes of a scan whose bit positions are looked up at once, and samples that are written at once.
+SCAN, SAMPLES = 1 << 20, 1 << 18
 
-    def __init__(self, data: bytes):
-        end = len(data)
-        at = data.find(b"\xff")
-        while at >= 0 and at + 1 < end:
-            if data[at + 1]:
-                end = at
-                break
-            at = data.find(b"\xff", at + 2)
-        self.data = data[:end].replace(b"\xff\x00", b"\xff")
-        self.at, self.held, self.count = 0, 0, 0
 
-    def peek(self, n: int) -> int:
-        while self.count < n:
-            byte = self.data[self.at] if self.at < len(self.data) else 0
-            self.at += 1
-            self.held = (self.held << 8 | byte) & 0xFFFFFFFFFF
-            self.count += 8
-        return (self.held >> (self.count - n)) & ((1 << n) - 1)
-
-    def skip(self, n: int) -> None:
-        self.count -= n
-
-    def take(self, n: int) -> int:
-        if not n:
-            return 0
-        value = self.peek(n)
-        self.skip(n)
-        return value
+def scan_bytes(data: bytes) -> np.ndarray:
+    """The bytes of a JPEG scan up to the first marker, without stuffed zeros."""
+    end, at = len(data), data.find(b"\xff")
+    while at >= 0 and at + 1 < end:
+        if data[at + 1]:
+            end = at
+            break
+        at = data.find(b"\xff", at + 2)
+    return np.frombuffer(data[:end].replace(b"\xff\x00", b"\xff"), np.uint8)
 
 
 def code_table(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
@@ -91,18 +74,129 @@ def code_table(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return table
 
 
-def lookup(table: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """For each 16 bits: symbol and length of the code that they begin with; length 0: none."""
+@dataclass(frozen=True)
+class Lookup:
+    """For each 16 bits: symbol and length of the code that they begin with, and the bits that the code and what belongs to
+    its category take; 0: no code."""
+
+    symbol: np.ndarray
+    size: np.ndarray
+    step: np.ndarray
+
+
+def lookup(table: dict[tuple[int, int], int]) -> Lookup:
     symbol, size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     for (length, code), s in table.items():
         lo = code << (16 - length)
         symbol[lo : lo + (1 << (16 - length))] = s
         size[lo : lo + (1 << (16 - length))] = length
-    return symbol.tolist(), size.tolist()
+    if (symbol > 16).any():
+        raise CodecError("category above 16")
+    return Lookup(symbol, size, np.where(size > 0, size + symbol % 16, 0).astype(np.uint8))
+
+
+def code_places(scan: np.ndarray, tables: list[Lookup], count: int) -> np.ndarray:
+    """The bit at which each of `count` codes begins; tables take turns. After the scan come zeros.
+
+    The bits that a code would take are looked up for every position at once; what is left to do one after the other is
+    to hop from code to code.
+    """
+    places: list[int] = []
+    add, at, turn = places.append, 0, 0
+    distinct = {id(t): t for t in tables}
+    while len(places) < count:
+        first = at >> 3
+        part = scan[first : first + SCAN + 2]
+        part = np.concatenate([part, np.zeros(max(0, min(SCAN, len(scan) - first + 64) + 2 - len(part)), np.uint8)]) if first < len(scan) else np.zeros(SCAN + 2, np.uint8)
+        words = part[:-2].astype(np.uint32) << 16 | part[1:-1].astype(np.uint32) << 8 | part[2:]
+        heads = np.empty((len(words), 8), np.uint16)
+        for k in range(8):
+            heads[:, k] = words >> (8 - k)
+        steps = {key: t.step[heads.reshape(-1)].tobytes() for key, t in distinct.items()}
+        lanes = [steps[id(t)] for t in tables]
+        base, stop, left = first * 8, first * 8 + heads.size, count - len(places)
+        p = at - base
+        limit = stop - base
+        if len(lanes) == 1:
+            lane = lanes[0]
+            while p < limit and left:
+                add(p + base)
+                n = lane[p]
+                if not n:
+                    raise CodecError("no such code")
+                p += n
+                left -= 1
+        else:
+            while p < limit and left:
+                add(p + base)
+                n = lanes[turn][p]
+                if not n:
+                    raise CodecError("no such code")
+                p += n
+                left -= 1
+                turn = (turn + 1) % len(lanes)
+        at = p + base
+    return np.array(places, np.int64)
+
+
+def differences(scan: np.ndarray, tables: list[Lookup], count: int) -> np.ndarray:
+    """The differences that the codes of a scan stand for."""
+    at = code_places(scan, tables, count)
+    padded = np.concatenate([scan, np.zeros(max(0, int(at[-1] >> 3) + 8 - len(scan)) if count else 0, np.uint8)])
+    out = np.empty(count, np.int64)
+    for lane, table in enumerate(tables):
+        for a in range(lane, count, SAMPLES * len(tables)):
+            some = slice(a, min(count, a + SAMPLES * len(tables)), len(tables))
+            byte, shift = at[some] >> 3, at[some] & 7
+            word = sum(padded[byte + k].astype(np.int64) << (32 - 8 * k) for k in range(5))
+            head = (word >> (24 - shift)) & 0xFFFF
+            category, size = table.symbol[head], table.size[head]
+            more = category % 16
+            value = (word >> (40 - shift - size - more)) & ((1 << more) - 1)
+            low = (more > 0) & (value < 1 << np.maximum(more - 1, 0))
+            out[some] = np.where(category == 16, -32768, np.where(low, value - (1 << more) + 1, value))
+    return out
 
 
-def predicted(mode: int, left: int, above: int, corner: int) -> int:
-    return {1: left, 2: above, 3: corner, 4: left + above - corner, 5: left + ((above - corner) >> 1), 6: above + ((left - corner) >> 1), 7: (left + above) >> 1}[mode]
+def undo_prediction(steps: np.ndarray, mode: int, precision: int) -> np.ndarray:
+    """The samples of height x width x parts differences.
+
+    The first line is predicted from the left, the first sample of the others from above; all else by the mode, modulo
+    2 ** precision. Where a mode is a sum, running sums undo it; a mode that halves what comes from the left goes by
+    diagonals, whose samples don't depend on each other.
+    """
+    height, width, _ = steps.shape
+    wrap = (1 << precision) - 1
+    out = steps.copy()
+    out[0, 0] += 1 << (precision - 1)
+    out[0] = np.cumsum(out[0], axis=0)
+    out[:, 0] = np.cumsum(out[:, 0], axis=0)
+    if mode == 1:
+        out[1:] = np.cumsum(out[1:], axis=1)
+    elif mode == 2:
+        out = np.cumsum(out, axis=0) if height > 1 else out
+        out[:, 0] = np.cumsum(np.concatenate([steps[:1, 0] + (1 << (precision - 1)), steps[1:, 0]]), axis=0)
+    elif mode == 4:
+        rises = np.cumsum(steps[1:], axis=1)
+        out[1:] = out[0] + np.cumsum(rises, axis=0)
+    elif mode in (3, 5):
+        out &= wrap
+        for y in range(1, height):
+            above = out[y - 1]
+            if mode == 3:
+                out[y, 1:] += above[:-1]
+            else:
+                out[y, 1:] += (above[1:] - above[:-1]) >> 1
+                out[y] = np.cumsum(out[y], axis=0)
+            out[y] &= wrap
+    else:
+        out &= wrap
+        for d in range(2, height + width - 1):
+            y = np.arange(max(1, d - width + 1), min(height, d))
+            x = d - y
+            left, above, corner = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+            out[y, x] = (out[y, x] + (above + ((left - corner) >> 1) if mode == 6 else (left + above) >> 1)) & wrap
+    return out & wrap
 
 
 def decode_lossless_jpeg(data: bytes, count: int | None = None, kind: str = "u2", order: str = "<") -> np.ndarray:
@@ -125,9 +219,13 @@ def decode_lossless_jpeg(data: bytes, count: int | None = None, kind: str = "u2"
                 if body[0] >> 4:
                     raise CodecError("AC codes in a lossless scan")
                 n = sum(body[1:17])
+                if len(body) < 17 + n:
+                    raise CodecError("cut code table")
                 tables[body[0] & 15] = lookup(code_table(body[1:17], body[17 : 17 + n]))
                 body = body[17 + n :]
         elif marker == 0xC3:
+            if len(body) < 6:
+                raise CodecError("cut frame")
             frame = (body[0], int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5])
         elif marker == 0xDD and any(body):
             raise CodecError("restart markers")
@@ -138,38 +236,17 @@ def decode_lossless_jpeg(data: bytes, count: int | None = None, kind: str = "u2"
     if frame is None:
         raise CodecError("no frame")
     precision, height, width, parts = frame
-    chosen = [tables[body[2 + 2 * i] >> 4] for i in range(body[0])]
-    mode, transform = body[1 + 2 * body[0]], body[3 + 2 * body[0]] & 15
-    if transform or not 1 <= mode <= 7 or body[0] != parts:
+    if len(body) < 4 + 2 * parts or body[0] != parts:
         raise CodecError("unsupported scan")
-    bits, wrap, out = Bits(data[at:]), (1 << precision) - 1, np.zeros((height, width * parts), np.int64)
-    before: list[int] = []
-    for y in range(height):
-        line = [0] * (width * parts)
-        for x in range(width):
-            for c in range(parts):
-                symbols, sizes = chosen[c]
-                head = bits.peek(16)
-                n = sizes[head]
-                if not n:
-                    raise CodecError("no such code")
-                bits.skip(n)
-                category = symbols[head]
-                if category == 16:
-                    step = -32768
-                else:
-                    step = bits.take(category)
-                    if category and step < 1 << (category - 1):
-                        step -= (1 << category) - 1
-                i = x * parts + c
-                if x:
-                    guess = line[i - parts] if not y else predicted(mode, line[i - parts], before[i], before[i - parts])
-                else:
-                    guess = before[i] if y else 1 << (precision - 1)
-                line[i] = (guess + step) & wrap
-        out[y] = line
-        before = line
-    flat = out.reshape(-1)
+    names = [body[2 + 2 * i] >> 4 for i in range(parts)]
+    mode, transform = body[1 + 2 * parts], body[3 + 2 * parts] & 15
+    if transform or not 1 <= mode <= 7 or not 2 <= precision <= 16 or not height or not width or not parts:
+        raise CodecError("unsupported scan")
+    if any(n not in tables for n in names):
+        raise CodecError("no code table")
+    chosen = [tables[names[0]]] if len(set(names)) == 1 else [tables[n] for n in names]
+    steps = differences(scan_bytes(data[at:]), chosen, height * width * parts)
+    flat = undo_prediction(steps.reshape(height, width, parts), mode, precision).reshape(-1)
     if count is not None:
         if len(flat) < count:
             raise CodecError("too few samples")
@@ -189,15 +266,19 @@ def encode_lossless_jpeg(samples: np.ndarray, precision: int = 16, mode: int = 1
     guess[1:, 1:] = {1: left, 2: above, 3: corner, 4: left + above - corner, 5: left + ((above - corner) >> 1), 6: above + ((left - corner) >> 1), 7: (left + above) >> 1}[mode]
     step = (s - guess) & 0xFFFF
     step = np.where(step > 32768, step - 65536, step).reshape(-1)
-    out = []
-    for v in step.tolist():
-        category = 16 if v == 32768 else abs(v).bit_length()
-        out.append(f"{category:05b}")
-        if 0 < category < 16:
-            out.append(f"{v if v > 0 else v + (1 << category) - 1:0{category}b}")
-    text = "".join(out)
-    text += "1" * (-len(text) % 8)
-    scan = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+    bits = [np.zeros(0, np.uint8)]
+    for a in range(0, len(step), SAMPLES):
+        v = step[a : a + SAMPLES]
+        category = np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
+        category[v == 32768] = 16
+        more = category % 16
+        code = category << more | np.where(more > 0, np.where(v > 0, v, v + (1 << more) - 1), 0)
+        sizes = 5 + more
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        bits.append((np.repeat(code, sizes) >> (np.repeat(sizes, sizes) - 1 - place) & 1).astype(np.uint8))
+    flat = np.concatenate(bits)
+    flat = np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])
+    scan = np.packbits(flat).tobytes().replace(b"\xff", b"\xff\x00")
     counts = bytes(17 if i == 4 else 0 for i in range(16))
 
     def segment(marker: int, body: bytes) -> bytes:
