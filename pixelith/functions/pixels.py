@@ -305,6 +305,44 @@ def rect_union(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
     return [F.when(ea, y).when(eb, x).otherwise(z) for x, y, z in zip(a, b, both, strict=True)]
 
 
+def rect_contains(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether b lies inside a."""
+    return (a[0] <= b[0]) & (a[1] <= b[1]) & (a[2] >= b[2]) & (a[3] >= b[3])
+
+
+def rect_transpose(a: Sequence[Column]) -> list[Column]:
+    """Rows for columns."""
+    return [a[1], a[0], a[3], a[2]]
+
+
+def iim_date(text: Column) -> dict[str, Column]:
+    """Year, month and day of CCYYMMDD; null where the text doesn't begin with eight digits."""
+    fine = text.rlike(r"^\d{8}")
+    return {n: F.when(fine, F.substring(text, at, size).cast("int")) for n, at, size in (("year", 1, 4), ("month", 5, 2), ("day", 7, 2))}
+
+
+def iim_time(text: Column) -> dict[str, Column]:
+    """Hour, minute and second of HHMMSS, whatever follows; null where the text doesn't begin with six digits."""
+    fine = text.rlike(r"^\d{6}")
+    return {n: F.when(fine, F.substring(text, at, 2).cast("int")) for n, at in (("hour", 1), ("minute", 3), ("second", 5))}
+
+
+def can_develop(photometric: Column, has_mosaic: Column) -> Column:
+    """What a photometric code asks for: "pass", "demosaic", or null for what can't be developed (fixed codes)."""
+    return F.when(photometric.isin(34892, 2), "pass").when((photometric == 32803) & has_mosaic, "demosaic")
+
+
+def jxl_kind(data: Column) -> Column:
+    """Whether bytes begin as a JPEG XL codestream or container."""
+    head = F.hex(F.substring(data, 1, 12))
+    return F.when(head.startswith("FF0A"), "codestream").when(head == "0000000C4A584C200D0A870A", "container")
+
+
+def ascii_text(payload: Column) -> Column:
+    """The text of bytes up to the first NUL."""
+    return F.substring_index(F.decode(payload, "UTF-8"), "\0", 1)
+
+
 def tiff_to_dihedral(code: Column) -> Column:
     """Orientation codes 1 to 9 as elements of the dihedral group, 0 to 7 (8: unknown); others are 0 (fixed values)."""
     known = {1: 0, 2: 4, 3: 2, 4: 6, 5: 7, 6: 1, 7: 5, 8: 3, 9: 8}

@@ -12,8 +12,12 @@ from pixelith import small_methods
 from pixelith.functions.pixels import hsv_to_rgb, num, pick, rgb_to_hsv
 
 
-def hue_sat(pixels: DataFrame, deltas: Sequence[tuple[float, float, float]], divisions: tuple[int, int, int]) -> DataFrame:
-    """functions.pixels.hue_sat_map() on the columns r, g, b; other columns pass through."""
+def hue_sat(pixels: DataFrame, deltas: Sequence[tuple[float, float, float]], divisions: tuple[int, int, int], other: Sequence[tuple[float, float, float]] | None = None, weight: Column | None = None) -> DataFrame:
+    """functions.pixels.hue_sat_map() on the columns r, g, b; other columns pass through.
+
+    With other, the table is weight * deltas + (1 - weight) * other, for a weight that each row has: the tables of two
+    illuminants, and how near each picture's light is to the first.
+    """
     small_methods(pixels.sparkSession)
     nh, ns, nv = divisions
     keep = [c for c in pixels.columns if c not in ("r", "g", "b")]
@@ -32,8 +36,10 @@ def hue_sat(pixels: DataFrame, deltas: Sequence[tuple[float, float, float]], div
     planes = [("_v0", num(1.0) - fv), ("_v1", fv)] if nv >= 2 else [("_v0", None)]
 
     def entry(k: int) -> Column:
-        flat = [d[k] for d in deltas]
+        one = looked_up([d[k] for d in deltas])
+        return one if other is None else weight * one + (num(1.0) - weight) * looked_up([d[k] for d in other])
 
+    def looked_up(flat: list[float]) -> Column:
         def side(at: str) -> Column:
             total = None
             for plane, weight in planes:

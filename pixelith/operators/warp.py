@@ -1,4 +1,4 @@
-"""Lens warps: where a pixel comes from is a Column expression; resampling gathers 4 x 4 windows per image plane."""
+"""Lens warps: where a pixel comes from is a Column expression; resampling gathers 4 x 4 windows by bands of source rows."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelith.functions.pixels import clamp, num
+from pixelith.operators.raster import BAND, to_scanlines
 
 #: Bicubic coefficient, window and sub-positions of the resampling (fixed values).
 A, WINDOW, STEPS = -0.75, 4, 32
@@ -115,7 +116,9 @@ def window_start(position: Column, low: int, high: int) -> tuple[Column, Column]
 def warp(pixels: DataFrame, bounds: tuple[int, int, int, int], p: Rectilinear, by_plane: dict[int, Rectilinear] | None = None) -> DataFrame:
     """Resamples image_id, row, col, plane, value. by_plane: parameters of a plane that differ from p.
 
-    A group is one plane of one image, which the format bounds; positions come with the rows, already worked out.
+    A pixel goes to the band of rows in which its window begins, as the scanlines of that band and the WINDOW - 1 after it
+    do. So a task has some scanlines and the pixels that look at them, whatever the size of the image; positions come
+    with the pixels, already worked out.
     """
     t, l, b, r = bounds
     if b - WINDOW - 1 < t or r - WINDOW - 1 < l:
@@ -132,17 +135,30 @@ def warp(pixels: DataFrame, bounds: tuple[int, int, int, int], p: Rectilinear, b
             row, col = (v, h) if row is None else (row.otherwise(v), col.otherwise(h))
     r0, rf = window_start(clamp(row, t, b - 1), t, b - WINDOW - 1)
     c0, cf = window_start(clamp(col, l, r - 1), l, r - WINDOW - 1)
-    work = pixels.select("image_id", "row", "col", "plane", F.col("value").cast("double").alias("value"), r0.alias("r0"), rf.alias("rf"), c0.alias("c0"), cf.alias("cf"))
+    targets = pixels.select("image_id", "plane", "row", "col", r0.alias("r0"), rf.alias("rf"), c0.alias("c0"), cf.alias("cf")).withColumn("band", F.floor(F.col("r0") / BAND).cast("int"))
+    lines = to_scanlines(pixels.withColumn("value", F.col("value").cast("double")))
+    home = F.floor(F.col("row") / BAND).cast("int")
+    lines = lines.withColumn("band", F.explode(F.array_distinct(F.array(home, F.floor((F.col("row") - (WINDOW - 1)) / BAND).cast("int")))))
     axis = weights()
-
-    def resample(g: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((b - t, r - l))
-        image[g["row"] - t, g["col"] - l] = g["value"]
-        wr, wc = axis[g["rf"]], axis[g["cf"]]
-        rows, cols = g["r0"].to_numpy()[:, None] - t + np.arange(WINDOW), g["c0"].to_numpy()[:, None] - l + np.arange(WINDOW)
-        seen = image[rows[:, :, None], cols[:, None, :]]
-        total = wr.sum(axis=1) * wc.sum(axis=1)
-        g["value"] = np.einsum("nij,ni,nj->n", seen, wr, wc) / total
-        return g[["image_id", "row", "col", "plane", "value"]]
-
-    return work.groupBy("image_id", "plane").applyInPandas(resample, "image_id long, row int, col int, plane int, value double")
+    names = ("image_id", "row", "col", "plane", "value")
+
+    def resample(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({n: pa.array([], pa.int64() if n == "image_id" else pa.float64() if n == "value" else pa.int32()) for n in names})
+        first = key[2].as_py() * BAND
+        image = np.zeros((BAND + WINDOW - 1, r - l))
+        for row, vals in zip(right.column("line").to_pylist(), right.column("vals"), strict=True):
+            image[row - first] = vals.values.to_numpy()
+        g = {c: left.column(c).to_numpy() for c in ("r0", "rf", "c0", "cf")}
+        value = np.empty(left.num_rows)
+        for a in range(0, left.num_rows, 1 << 16):
+            some = slice(a, a + (1 << 16))
+            wr, wc = axis[g["rf"][some]], axis[g["cf"][some]]
+            rows, cols = g["r0"][some][:, None] - first + np.arange(WINDOW), g["c0"][some][:, None] - l + np.arange(WINDOW)
+            seen = image[rows[:, :, None], cols[:, None, :]]
+            value[some] = np.einsum("nij,ni,nj->n", seen, wr, wc) / (wr.sum(axis=1) * wc.sum(axis=1))
+        return pa.table({"image_id": left.column("image_id"), "row": left.column("row"), "col": left.column("col"), "plane": left.column("plane"), "value": pa.array(value)})
+
+    # columns that both sides have from one table need new names, or one side's would be taken for the other's
+    lines = lines.select(F.col("image_id").alias("_image"), F.col("plane").alias("_plane"), F.col("band").alias("_band"), F.col("row").alias("line"), "vals")
+    return targets.groupBy("image_id", "plane", "band").cogroup(lines.groupBy("_image", "_plane", "_band")).applyInArrow(resample, "image_id long, row int, col int, plane int, value double")

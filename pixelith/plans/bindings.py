@@ -1,7 +1,7 @@
 """Images bound to the given tables, as DataFrames and as DuckDB SQL.
 
-Mosaic images: 100 vectors of `embeddings` are an image, a vector is a scanline. Plane images: the first 63 numbers of
-a vector are 21 pixels of 3 planes. RGB pixels: rows of `lineitem`.
+Mosaic images: 100 vectors of `embeddings` are an image, a vector is a scanline. Plane images: the numbers of a
+vector are pixels of 3 planes, the last of which has one plane only. RGB pixels: rows of `lineitem`.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plane_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = mosaic_lines(spark, sf_dir)
-    flat = lines.select("image_id", "row", F.posexplode("vals").alias("pos", "value")).where("pos < 63")
+    flat = lines.select("image_id", "row", F.posexplode("vals").alias("pos", "value"))
     return flat.select("image_id", "row", F.expr("pos div 3").cast("int").alias("col"), F.expr("pos % 3").cast("int").alias("plane"), "value")
 
 
@@ -68,7 +68,7 @@ def sql_q(expr: str, scale: float = 1e6) -> str:
 MOSAIC = """rb1 AS (SELECT vec_id // 100 AS image_id, CAST(vec_id % 100 AS INT) AS "row", CAST(pos AS INT) AS col, 0 AS plane,
  CAST(floor((CAST(v AS DOUBLE) + '1.0'::DOUBLE) * '2048.0'::DOUBLE) AS INT) AS value
  FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings))"""
-PLANES = MOSAIC + """, rb2 AS (SELECT image_id, "row", CAST(col // 3 AS INT) AS col, CAST(col % 3 AS INT) AS plane, value FROM rb1 WHERE col < 63)"""
+PLANES = MOSAIC + """, rb2 AS (SELECT image_id, "row", CAST(col // 3 AS INT) AS col, CAST(col % 3 AS INT) AS plane, value FROM rb1)"""
 LINEAR = MOSAIC + f""", lin AS (SELECT image_id, "row", col, plane, least((value - {d(BLACK)}) * {d(1.0 / (WHITE - BLACK))}, {d(1.0)}) AS x FROM rb1)"""
 DYADIC = LINEAR + f""", dy AS (SELECT image_id, "row", col, plane, floor(x * {d(GRID)}) / {d(GRID)} AS x FROM lin)"""
 RGB = f"""rb3 AS (SELECT l_orderkey, l_linenumber, l_quantity / {d(50)} AS r, l_extendedprice / {d(105000)} AS g, l_discount * {d(10)} AS b FROM lineitem)"""

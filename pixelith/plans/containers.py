@@ -13,7 +13,7 @@ from pixelith.operators import raster as R
 from pixelith.plans import bindings as B
 from pixelith.plans import opcodes as O
 from pixelith.plans.bindings import BOUNDS, LINEAR, MOSAIC, d, q, sql_q
-from pixelith.plans.catalog import AT, GAINS, IN_AREA, POLY, WITH, linear, query
+from pixelith.plans.catalog import AT, GAINS, IN_AREA, POLY, WITH, gain_sql, linear, query
 from pixelith.sources import codecs, metadata, tiff
 
 SAME = WITH + MOSAIC + ' SELECT image_id, "row", col, CAST(value AS BIGINT) AS v FROM rb1'
@@ -109,27 +109,23 @@ def _whole_records(spark, sf):
 
 
 @query("SELECT doc_id AS file_id, CAST(0 AS INT) AS ord, 'title' AS name, lang AS text FROM documents UNION ALL SELECT doc_id, 1, 'keyword', source FROM documents UNION ALL SELECT doc_id, 2, 'description', text FROM documents")
-def iptc_texts(spark, sf):
-    """All records with their whole texts."""
-    return _whole_records(spark, sf)
-
-
-@query("SELECT doc_id AS file_id, CAST(0 AS INT) AS ord, 'title' AS name, lang AS text FROM documents UNION ALL SELECT doc_id, 1, 'keyword', source FROM documents UNION ALL SELECT doc_id, 2, 'description', left(text, 200) FROM documents")
 def iptc_records(spark, sf):
-    """Whole texts are written and read; of a description the result shows what its SQL does, iptc_texts shows all."""
-    shown = F.when(F.col("name") == "description", F.expr("left(text, 200)")).otherwise(F.col("text"))
-    return _whole_records(spark, sf).withColumn("text", shown)
+    """All records with their whole texts, as they are read."""
+    return _whole_records(spark, sf)
 
 
 def _area(t=10, l=4, b=90, r=60, plane=0, planes=1, rp=2, cp=3) -> bytes:
     return struct.pack(">4i4I", t, l, b, r, plane, planes, rp, cp)
 
 
-LIST_2 = O.pack([(8, _area() + struct.pack(">I4d", 3, *POLY)), (99, b"unknown"), (9, _area(0, 0, 100, 64, 0, 1, 1, 1) + struct.pack(">2I4dI9f", 3, 3, 0.4, 0.45, 0.1, 0.05, 1, *[1.0] * 9)), (6, struct.pack(">4i", 2, 4, 98, 60))])
+#: The gains of the list's map, as 32-bit floats have them.
+GAINS_32 = [struct.unpack(">f", struct.pack(">f", g))[0] for g in GAINS]
+LIST_2 = O.pack([(8, _area() + struct.pack(">I4d", 3, *POLY)), (99, b"unknown"), (9, _area(0, 0, 100, 64, 0, 1, 1, 1) + struct.pack(">2I4dI9f", 3, 3, 0.4, 0.45, 0.1, 0.05, 1, *GAINS)), (6, struct.pack(">4i", 2, 4, 98, 60))])
+POLY_SQL = f"least(greatest({d(POLY[0])} + x * ({d(POLY[1])} + abs(x) * ({d(POLY[2])} + abs(x) * {d(POLY[3])})), {d(-1)}), {d(1)})"
 
 
-@query(WITH + LINEAR + f', p AS (SELECT image_id, "row", col, CASE WHEN {IN_AREA} THEN least(greatest({d(POLY[0])} + x * ({d(POLY[1])} + abs(x) * ({d(POLY[2])} + abs(x) * {d(POLY[3])})), {d(-1)}), {d(1)}) ELSE x END AS x FROM lin) SELECT image_id, "row" - 2 AS "row", col - 4 AS col, {sql_q("least(x, " + d(1) + ")")} AS v FROM p WHERE "row" BETWEEN 2 AND 97 AND col BETWEEN 4 AND 59')
+@query(WITH + LINEAR + f', p AS (SELECT image_id, "row", col, CASE WHEN {IN_AREA} THEN {POLY_SQL} ELSE x END AS x FROM lin) SELECT image_id, "row" - 2 AS "row", col - 4 AS col, {sql_q(gain_sql("x", GAINS_32))} AS v FROM p WHERE "row" BETWEEN 2 AND 97 AND col BETWEEN 4 AND 59')
 def opcode_list(spark, sf):
-    """A parsed correction list folded over the raster: polynomial, an unknown entry, a flat gain map, trimming."""
+    """A parsed correction list folded over the raster: polynomial, an unknown entry, a gain map, trimming."""
     px, _ = O.apply(linear(spark, sf), O.parse(LIST_2), BOUNDS, 2)
     return px.select(*AT, q(F.col("value")).alias("v"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelith.functions import pixels as P
 from pixelith.operators import raster as R
 from pixelith.operators import warp as W
+from pixelith.sources import metadata, tiff
 
 #: Identifiers of the corrections (fixed values of the public format).
 IDS = {1: "warp_rectilinear", 2: "warp_fisheye", 3: "vignette", 4: "bad_constant", 5: "bad_list", 6: "trim", 7: "map_table", 8: "polynomial", 9: "gain_map", 10: "delta_row", 11: "delta_col", 12: "scale_row", 13: "scale_col", 14: "warp_rectilinear2"}
@@ -55,6 +58,27 @@ def pack(opcodes: list[tuple[int, bytes]]) -> bytes:
     return struct.pack(">I", len(opcodes)) + b"".join(struct.pack(">I4sII", n, bytes([1, 3, 0, 0]), 0, len(b)) + b for n, b in opcodes)
 
 
+def entries(files: DataFrame) -> DataFrame:
+    """file_id, list, ord, id, version, flags, size, error: the corrections in the three lists of each file's main image."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for file_id, content in zip(b["file_id"], b["content"], strict=True):
+                try:
+                    c = tiff.parse(bytes(content or b""))
+                    ifd = c.ifds[tiff.roles(c)["main"][0]]
+                    for n in (1, 2, 3):
+                        e = ifd.find(metadata.T[f"opcodes_{n}"])
+                        if e is not None and len(e.payload) > 4:
+                            rows += [(file_id, n, k, op.id, op.version[0] * 1000 + op.version[1] * 100 + op.version[2] * 10 + op.version[3], op.flags, len(op.body), None) for k, op in enumerate(parse(e.payload))]
+                except (*tiff.BROKEN, OpcodeError, KeyError) as e:
+                    rows.append((file_id, None, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["file_id", "list", "ord", "id", "version", "flags", "size", "error"]).astype({n: "Int64" for n in ("list", "ord", "id", "version", "flags", "size")})
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, list int, ord int, id int, version int, flags long, size long, error string")
+
+
 def area_of(body: bytes) -> dict:
     t, l, b, r, plane, planes, rp, cp = struct.unpack_from(">4i4I", body)
     if not rp or not cp or not planes:

@@ -8,8 +8,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from pixelith.sources import tiff
 from pixelith.sources.tiff import Entry, FormatError, Ifd
 
 #: Tags of the readers (fixed values of the public format).
@@ -202,3 +206,132 @@ def shown(e: Entry, order: str, most: int = 8) -> str:
     values = list(e.payload) if e.type == 7 else e.values(order)
     parts = [f"{v[0]}/{v[1]} ({v[0] / v[1] if v[1] else 0.0:.4G})" if isinstance(v, tuple) else f"{v:.6G}" if isinstance(v, float) else str(v) for v in values[:most]]
     return "[" + ", ".join(parts) + (f", … (+{len(values) - most} more)" if len(values) > most else "") + "]"
+
+
+def dump(files: DataFrame, most: int = 8) -> DataFrame:
+    """file_id, ifd_idx, role, tag, type, count, text: the tags of each IFD in order of their numbers, values as shown(). A file
+    that can't be read has one row, whose text is its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                try:
+                    c = tiff.parse(bytes(content or b""))
+                    first = {i: role for role, places in tiff.roles(c).items() for i in places}
+                    for i, ifd in enumerate(c.ifds):
+                        rows += [(file_id, i, first.get(i, ""), e.tag, e.type, e.count, shown(e, c.order, most)) for e in sorted(ifd.entries, key=lambda e: e.tag)]
+                except tiff.BROKEN as e:
+                    rows.append((file_id, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["file_id", "ifd_idx", "role", "tag", "type", "count", "text"]).astype({"ifd_idx": "Int32", "tag": "Int32", "type": "Int32", "count": "Int64"})
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, ifd_idx int, role string, tag int, type int, count long, text string")
+
+
+def exif_records(files: DataFrame) -> DataFrame:
+    """A row per file of the exposure record of its first IFD: a column for each tag of EXIF_TEXT, EXIF_REAL and EXIF_NUMBER,
+    null where the file has none; unknown, a map of all other tags to their bytes; and the error of a file that can't be
+    read. Dates stay text: functions.pixels.exif_date() reads them."""
+    kinds = {**dict.fromkeys(EXIF_TEXT, "string"), **dict.fromkeys(EXIF_REAL, "double"), **dict.fromkeys(EXIF_NUMBER, "long")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                try:
+                    c = tiff.parse(bytes(content or b""))
+                    found, error = exif(c.ifds[0], c.order), None
+                except tiff.BROKEN as e:
+                    found, error = {}, str(e)
+                rows.append((file_id, *[found.get(n) for n in kinds], found.get("unknown", {}), error))
+            frame = pd.DataFrame(rows, columns=["file_id", *kinds, "unknown", "error"])
+            yield frame.astype({n: "Int64" for n in EXIF_NUMBER})
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, " + ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", unknown map<int, binary>, error string")
+
+
+def by_file(files: DataFrame, schema: str, read) -> DataFrame:
+    """file_id and what read(container, main or first IFD) gives, a tuple of values or a list of such, by the columns of
+    schema; a file that can't be read has nulls and its error."""
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    c = tiff.parse(bytes(content or b""))
+                    places = tiff.roles(c).get("main", [0])
+                    found = read(c, c.ifds[places[0]])
+                    rows += [(file_id, *r, None) for r in (found if isinstance(found, list) else [found])]
+                except tiff.BROKEN as e:
+                    rows.append((file_id, *[None] * len(names), str(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, kinds, strict=True)], names=["file_id", *names, "error"])
+
+    whole = f"file_id long, {schema}, error string"
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(whole))]
+    return files.select("file_id", "content").mapInArrow(run, whole)
+
+
+def linearizations(files: DataFrame) -> DataFrame:
+    """Black, white, table and deltas of each file's main image, as arrays; no table or delta is null."""
+
+    def read(c, ifd):
+        kind = ifd.number(339, c.order, 1)
+        lin = linearization(ifd, c.order, kind == 3)
+        return (*lin["dims"], lin["black"], lin["white"], lin["lut"], lin["delta_h"], lin["delta_v"])
+
+    return by_file(files, "rows int, cols int, black array<double>, white array<double>, lut array<double>, delta_h array<double>, delta_v array<double>", read)
+
+
+def mosaics(files: DataFrame) -> DataFrame:
+    """The mosaic of each file's main image; nulls where it has none."""
+
+    def read(c, ifd):
+        m = mosaic(ifd, c.order)
+        return (*m["dims"], m["pattern"], m["split"], m["rows"], m["cols"]) if m else (None,) * 6
+
+    return by_file(files, "high int, wide int, pattern array<int>, split int, row_interleave int, col_interleave int", read)
+
+
+def areas(files: DataFrame) -> DataFrame:
+    """The active area and the default crop of each file's main image, as (top, left, bottom, right); null where it has none."""
+
+    def read(c, ifd):
+        active = active_area(ifd, c.order)
+        whole = active or (0, 0, ifd.scalar(257, c.order, 0), ifd.scalar(256, c.order, 0))
+        crop = default_crop(ifd, c.order, whole)
+        return list(active) if active else None, list(crop) if crop else None
+
+    return by_file(files, "active array<int>, crop array<int>", read)
+
+
+def profiles(files: DataFrame) -> DataFrame:
+    """The camera profile in each file's first IFD."""
+
+    def read(c, ifd):
+        p = profile(c.ifds[0], c.order)
+        sides = p["calibrations"]
+        return (p["balance"], p["neutral"], p["white_xy"], p["exposure"], [x for xy in p["curve"] for x in xy], p["hue_dims"], [s["illuminant"] for s in sides], [s["color"] for s in sides], [s["forward"] for s in sides], [s["calibration"] for s in sides], [s["hue"] for s in sides])
+
+    return by_file(files, "balance array<double>, neutral array<double>, white_xy array<double>, exposure double, curve array<double>, hue_dims array<int>, illuminants array<int>, color array<array<double>>, forward array<array<double>>, calibration array<array<double>>, hue array<array<double>>", read)
+
+
+def packets(files: DataFrame) -> DataFrame:
+    """The XMP packet (tag 700) of each file's first IFD, as bytes; null where it has none."""
+
+    def read(c, ifd):
+        e = c.ifds[0].find(700)
+        return (e.payload if e is not None else None,)
+
+    return by_file(files, "packet binary", read)
+
+
+def numbers(files: DataFrame) -> DataFrame:
+    """ifd_idx, tag, type, pos, value of all numbers in all tags; a rational over 0 is 0. Text and other bytes have none."""
+
+    def read(c, ifd):
+        return [(i, e.tag, e.type, k, v) for i, d in enumerate(c.ifds) for e in d.entries if e.type not in (2, 7) for k, v in enumerate(e.reals(c.order))]
+
+    return by_file(files, "ifd_idx int, tag int, type int, pos int, value double", read)

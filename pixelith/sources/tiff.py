@@ -1,7 +1,7 @@
 """TIFF containers of camera raw images: parsing, tag entries, roles, strips and tiles, writing.
 
-Files come as rows (file_id, content) - spark.read.format('binaryFile') - and leave as entry rows, image rows or
-sample rows. A file is parsed by one task; many files share a task.
+Files come as rows (file_id, content) - spark.read.format('binaryFile') - and leave as entry rows, scanlines or sample
+rows. A file is parsed by one task, many files share one, and each strip or tile is decoded by itself.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ MOST_CHAINED, MOST_SUBS, MOST_ENTRIES = 10, 125, 16384
 SUB_IFDS = 330
 
 
+#: Types of single whole numbers.
+WHOLE = (1, 3, 4, 6, 8, 9, 13, 16, 17, 18)
+
+
 class FormatError(ValueError):
     pass
 
@@ -66,11 +71,23 @@ class Ifd:
         return next((e for e in reversed(self.entries) if e.tag == tag), None)
 
     def number(self, tag: int, order: str, default: int | None = None) -> int | None:
+        """The first number of a tag; one without a whole number is an error."""
+        e = self.find(tag)
+        if e is None:
+            return default
+        if e.type not in WHOLE or not e.count:
+            raise FormatError(f"tag {tag} has no whole number")
+        return int(e.values(order)[0])
+
+    def scalar(self, tag: int, order: str, default: int | None = None) -> int | None:
+        """The number of a tag that must have exactly one."""
         e = self.find(tag)
-        return default if e is None else int(e.values(order)[0])
+        if e is not None and e.count != 1:
+            raise FormatError(f"tag {tag} has {e.count} values")
+        return self.number(tag, order, default)
 
     def role(self, order: str) -> str | None:
-        return ROLES.get(self.number(254, order, 0))
+        return ROLES.get(self.scalar(254, order, 0))
 
 
 @dataclass
@@ -121,13 +138,14 @@ def parse(data: bytes) -> Container:
     order, big, at = header(data)
     if not 8 <= at < len(data):
         raise FormatError("first IFD outside the file")
-    found, seen = Container(order, big, []), set()
-    for _ in range(MOST_CHAINED):
-        if not at:
-            break
+    found, seen, hops = Container(order, big, []), set(), 0
+    while at:
         if at in seen:
             raise FormatError("IFD chain goes in a circle")
         seen.add(at)
+        hops += 1
+        if hops > MOST_CHAINED:
+            raise FormatError(f"more than {MOST_CHAINED} chained IFDs")
         ifd, at = read_ifd(data, at, order, big)
         found.ifds.append(ifd)
         parent = len(found.ifds) - 1
@@ -135,7 +153,11 @@ def parse(data: bytes) -> Container:
         if subs is not None:
             if subs.count > MOST_SUBS:
                 raise FormatError("too many sub-IFDs")
+            if subs.type not in WHOLE:
+                raise FormatError("sub-IFDs are no offsets")
             for place in subs.values(order):
+                if place <= 0:
+                    continue
                 if place in seen:
                     raise FormatError("IFD chain goes in a circle")
                 seen.add(place)
@@ -155,37 +177,62 @@ def roles(c: Container) -> dict[str, list[int]]:
     return out
 
 
-def read_image(data: bytes, c: Container, ifd: Ifd) -> np.ndarray:
-    """height x width x planes samples of an IFD's strips or tiles."""
+@dataclass(frozen=True)
+class Layout:
+    """How an image is stored: its size and type, and the place, size and corner of each strip or tile."""
+
+    height: int
+    width: int
+    planes: int
+    kind: str
+    code: int
+    predictor: int
+    tile: tuple[int, int]
+    parts: list[tuple[int, int, int, int]]  # offset, bytes, top, left
+
+    def lines(self, top: int, tiled: bool) -> int:
+        return self.tile[0] if tiled else min(self.tile[0], self.height - top)
+
+
+def layout(data: bytes, c: Container, ifd: Ifd) -> tuple[Layout, bool]:
+    """The layout of an IFD's image, and whether it is in tiles."""
     o = c.order
-    width, height = ifd.number(256, o), ifd.number(257, o)
-    if not width or not height:
+    width, height = ifd.scalar(256, o), ifd.scalar(257, o)
+    if not width or not height or width < 0 or height < 0:
         raise FormatError("no size")
-    planes, code = ifd.number(277, o, 1), ifd.number(259, o, 1)
-    if ifd.number(284, o, 1) != 1:
+    planes, code = ifd.scalar(277, o, 1), ifd.scalar(259, o, 1)
+    if ifd.scalar(284, o, 1) != 1:
         raise FormatError("separate planes are not supported")
     kind = codecs.sample_type(ifd.number(258, o, 1), ifd.number(339, o, 1))
-    predictor = ifd.number(317, o, 1)
-    out = np.zeros((height, width, planes), kind)
     tiled = ifd.find(324) is not None
-    offsets = (ifd.find(324 if tiled else 273) or Entry(0, 4, 0, b"")).values(o)
-    sizes = (ifd.find(325 if tiled else 279) or Entry(0, 4, 0, b"")).values(o)
+    empty = Entry(0, 4, 0, b"")
+    offsets, sizes = ((ifd.find(t) or empty) for t in ((324, 325) if tiled else (273, 279)))
+    if offsets.type not in WHOLE or sizes.type not in WHOLE:
+        raise FormatError("places are no whole numbers")
+    offsets, sizes = offsets.values(o), sizes.values(o)
     if tiled:
-        tw, th = ifd.number(322, o), ifd.number(323, o)
+        tw, th = ifd.scalar(322, o, 0), ifd.scalar(323, o, 0)
+        if tw <= 0 or th <= 0:
+            raise FormatError("no tile size")
         across, down = -(-width // tw), -(-height // th)
     else:
-        th = ifd.number(278, o, 0) or height
-        tw, across, down = width, 1, -(-height // min(th, height))
-        th = min(th, height)
+        th = min(ifd.scalar(278, o, 0) or height, height)
+        tw, across, down = width, 1, -(-height // th)
     if len(offsets) != across * down or len(sizes) != len(offsets):
         raise FormatError("strips or tiles don't match the size")
-    for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
-        y, x = i // across * th, i % across * tw
-        lines = th if tiled else min(th, height - y)
-        if at + n > len(data):
-            raise FormatError("strip outside the file")
-        got = codecs.decode(code, data[at : at + n], lines, tw, planes, kind, o, predictor)
-        out[y : y + th, x : x + tw] = got[: height - y, : width - x]
+    if any(at + n > len(data) for at, n in zip(offsets, sizes, strict=True)):
+        raise FormatError("strip outside the file")
+    parts = [(at, n, i // across * th, i % across * tw) for i, (at, n) in enumerate(zip(offsets, sizes, strict=True))]
+    return Layout(height, width, planes, kind, code, ifd.scalar(317, o, 1), (th, tw), parts), tiled
+
+
+def read_image(data: bytes, c: Container, ifd: Ifd) -> np.ndarray:
+    """height x width x planes samples of an IFD's strips or tiles."""
+    l, tiled = layout(data, c, ifd)
+    out = np.zeros((l.height, l.width, l.planes), l.kind)
+    for at, n, y, x in l.parts:
+        got = codecs.decode(l.code, data[at : at + n], l.lines(y, tiled), l.tile[1], l.planes, l.kind, c.order, l.predictor)
+        out[y : y + l.tile[0], x : x + l.tile[1]] = got[: l.height - y, : l.width - x]
     return out
 
 
@@ -297,9 +344,28 @@ def rewrite(data: bytes) -> bytes:
     return write([page(i) for i, ifd in enumerate(c.ifds) if ifd.parent is None], c.order)
 
 
+def rewritten(files: DataFrame, on_error: str = "raise") -> DataFrame:
+    """(file_id, content): rewrite() of each file; one that can't be read fails the query, or is left out (skip)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                try:
+                    out.append((file_id, rewrite(bytes(content or b""))))
+                except BROKEN:
+                    if on_error == "raise":
+                        raise
+            yield pd.DataFrame(out, columns=["file_id", "content"])
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, content binary")
+
+
 # --- Spark -----------------------------------------------------------------------------------------------------
 
-ENTRIES = "file_id long, ifd_idx int, parent_idx int, role string, entry_ord int, tag int, type int, count long, payload binary, error string"
+ENTRIES = "file_id long, ifd_idx int, parent_idx int, role string, entry_ord int, tag int, type int, count long, payload binary, big_endian boolean, big_tiff boolean, error string"
+#: What a broken file may raise; a file with any of these is a row with its error, where rows are asked for.
+BROKEN = (FormatError, codecs.CodecError, struct.error, IndexError, OverflowError, UnicodeDecodeError, MemoryError)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
@@ -311,61 +377,159 @@ def entries(files: DataFrame, on_error: str = "row") -> DataFrame:
     """The tag entries of (file_id, content). A file that can't be parsed gives one row with its error, or fails the query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ENTRIES.split(", ")]
         for batch in batches:
             rows = []
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
                     c = parse(bytes(content or b""))
-                except FormatError as e:
+                    rows += [(file_id, i, ifd.parent, ifd.role(c.order), k, e.tag, e.type, e.count, e.payload, c.order == ">", c.big, None) for i, ifd in enumerate(c.ifds) for k, e in enumerate(ifd.entries)]
+                except BROKEN as e:
                     if on_error != "row":
                         raise
-                    rows.append((file_id, None, None, None, None, None, None, None, None, str(e)))
-                    continue
-                for i, ifd in enumerate(c.ifds):
-                    rows += [(file_id, i, ifd.parent, ifd.role(c.order), k, e.tag, e.type, e.count, e.payload, None) for k, e in enumerate(ifd.entries)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRIES.split(", ")])
+                    rows.append((file_id, *[None] * (len(names) - 2), str(e)))
+            yield pd.DataFrame(rows, columns=names).astype({"parent_idx": "Int32", "ifd_idx": "Int32", "entry_ord": "Int32", "tag": "Int32", "type": "Int32", "count": "Int64"})
 
     return files.select("file_id", "content").mapInPandas(run, ENTRIES)
 
 
-def samples(files: DataFrame, role: str = "main") -> DataFrame:
-    """image_id, row, col, plane, value of the images of a role, one scanline at a time."""
+PARTS = "file_id long, top int, left int, lines int, height int, width int, planes int, tile_width int, kind string, code int, predictor int, byte_order string, data binary, error string"
+SEGMENTS = "file_id long, row int, left int, plane int, vals array<double>, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                data = bytes(content or b"")
-                c = parse(data)
-                for i in roles(c).get(role, []):
-                    image = read_image(data, c, c.ifds[i])
-                    height, width, planes = image.shape
-                    for y in range(0, height, 64):
-                        part = image[y : y + 64]
-                        r, x, p = np.indices(part.shape)
-                        yield pd.DataFrame({"image_id": file_id, "row": (r + y).reshape(-1).astype(np.int32), "col": x.reshape(-1).astype(np.int32), "plane": p.reshape(-1).astype(np.int32), "value": part.reshape(-1).astype(np.float64)})
 
-    return files.select("file_id", "content").mapInPandas(run, "image_id long, row int, col int, plane int, value double")
+def parts(files: DataFrame, role: str = "main") -> DataFrame:
+    """The strips or tiles, still coded, of the images of a role: a row each, with all that decoding needs, or a row with the
+    error of a file that can't be read. A file without the role has no row, but for the main image, where that is an error."""
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
+                data = bytes(content.as_buffer()) if content.is_valid else b""
+                try:
+                    c = parse(data)
+                    wanted = roles(c).get(role, [])
+                    if not wanted and role == "main":
+                        raise FormatError("no main image")
+                    rows = []
+                    for i in wanted:
+                        l, tiled = layout(data, c, c.ifds[i])
+                        rows += [(file_id, y, x, l.lines(y, tiled), l.height, l.width, l.planes, l.tile[1], l.kind, l.code, l.predictor, c.order, data[at : at + n], None) for at, n, y, x in l.parts]
+                except BROKEN as e:
+                    rows = [(file_id, *[None] * (len(names) - 2), str(e))]
+                for k in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64], strict=True), kinds, strict=True)], names=names)
+
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in PARTS.split(", ")]
+    return files.select("file_id", "content").mapInArrow(run, PARTS)
+
+
+def segments(files: DataFrame, role: str = "main") -> DataFrame:
+    """file_id, row, left, plane, vals of the images of a role: the part of a scanline that a strip or tile has, or the error.
+
+    Strips and tiles, coded as they are, are dealt to all tasks before they are decoded, so one large file is the work of
+    many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.to_pylist():
+                error = p["error"]
+                if error is None:
+                    try:
+                        got = codecs.decode(p["code"], p["data"], p["lines"], p["tile_width"], p["planes"], p["kind"], p["byte_order"], p["predictor"])
+                    except BROKEN as e:
+                        error = str(e)
+                if error is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([p["file_id"]], pa.int64()), *[pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))], pa.array([error])], names=names)
+                    continue
+                image = got[: p["height"] - p["top"], : p["width"] - p["left"]].transpose(0, 2, 1).astype(np.float64)
+                lines, planes, width = image.shape
+                step = max(1, (1 << 20) // max(width * planes, 1))
+                for y in range(0, lines, step):
+                    some = image[y : y + step]
+                    n = some.shape[0] * planes
+                    vals = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(some.reshape(-1)))
+                    row = np.repeat(np.arange(y, y + some.shape[0], dtype=np.int32) + p["top"], planes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p["file_id"])), pa.array(row), pa.array(np.full(n, p["left"], np.int32)), pa.array(np.tile(np.arange(planes, dtype=np.int32), some.shape[0])), vals, pa.nulls(n, pa.string())], names=names)
+
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
+    coded = parts(files, role)
+    return coded.repartition(F.xxhash64("file_id", "top", "left")).mapInArrow(run, SEGMENTS)
+
+
+def checked(found: DataFrame, on_error: str) -> DataFrame:
+    """The rows without an error. on_error: raise the first error, or skip the files that have one, whole."""
+    if on_error == "raise":
+        return found.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("file "), F.col("file_id"), F.lit(": "), F.col("error"))).cast("boolean"))).drop("error")
+    return found.where("error is null").drop("error")
+
+
+def samples(files: DataFrame, role: str = "main", on_error: str = "raise") -> DataFrame:
+    """image_id, row, col, plane, value of the images of a role. Python makes scanlines; they are exploded here. Of a file
+    with an error ("skip") the strips or tiles that can be decoded are left; failures() tells which files these are."""
+    lines = checked(segments(files, role), on_error)
+    return lines.select(F.col("file_id").alias("image_id"), "row", "left", "plane", F.posexplode("vals").alias("_at", "value")).select("image_id", "row", (F.col("left") + F.col("_at")).alias("col"), "plane", "value")
+
+
+def scanlines(files: DataFrame, role: str = "main", on_error: str = "raise") -> DataFrame:
+    """image_id, row, plane, vals: whole scanlines, tiles put side by side."""
+    found = checked(segments(files, role), on_error)
+    whole = found.groupBy(F.col("file_id").alias("image_id"), "row", "plane").agg(F.array_sort(F.collect_list(F.struct("left", "vals"))).alias("_v"))
+    return whole.select("image_id", "row", "plane", F.flatten(F.transform("_v", lambda s: s["vals"])).alias("vals"))
+
+
+def failures(files: DataFrame, role: str = "main") -> DataFrame:
+    """file_id, error of the files that can't be read or decoded."""
+    return segments(files, role).where("error is not null").groupBy("file_id").agg(F.min("error").alias("error"))
+
+
+def build(pixels: DataFrame, kind: str = "u2", orientation: DataFrame | None = None, **options) -> DataFrame:
+    """(file_id, content): a TIFF for each image of image_id, row, col, plane, value. The format bounds an image.
+
+    orientation: (image_id, orientation) of the images; codes 2 to 8 are written as a tag, as the pixels are not turned.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], lines: pa.Table) -> pa.Table:
+        row, plane = lines.column("row").to_numpy(), lines.column("plane").to_numpy()
+        cols = [c.values.to_numpy() for c in lines.column("cols")]
+        image = np.zeros((int(row.max()) + 1, max(int(c.max()) for c in cols) + 1, int(plane.max()) + 1), kind)
+        for r, p, c, v in zip(row.tolist(), plane.tolist(), cols, lines.column("vals"), strict=True):
+            image[r, c, p] = v.values.to_numpy()
+        order = options.get("order", "<")
+        turned = lines.column("turned")[0].as_py() or 0
+        extra = [*options.get("extra", ()), *([entry(274, 3, turned, order)] if 1 < turned <= 8 else [])]
+        content = write([image_page(image, **(options | {"extra": extra}))], order)
+        return pa.table({"file_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    at = F.array_sort(F.collect_list(F.struct("col", F.col("value").cast("double").alias("value"))))
+    lines = pixels.groupBy("image_id", "row", "plane").agg(at.alias("_v")).select("image_id", "row", "plane", F.transform("_v", lambda s: s["col"].cast("int")).alias("cols"), F.transform("_v", lambda s: s["value"]).alias("vals"))
+    if orientation is not None:
+        lines = lines.join(orientation.select("image_id", F.col("orientation").cast("int").alias("turned")), "image_id", "left")
+    else:
+        lines = lines.withColumn("turned", F.lit(0))
+    return lines.groupBy("image_id").applyInArrow(run, "file_id long, content binary")
 
 
-def build(pixels: DataFrame, kind: str = "u2", **options) -> DataFrame:
-    """(file_id, content): a TIFF for each image of image_id, row, col, plane, value. The format bounds an image."""
+def byte_at(content: Column, at: int, size: int, little: bool | Column = True) -> Column:
+    """An unsigned number of up to 7 bytes at a place of a binary column, in the JVM. little: the byte order, if need be by row."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        shape = [int(g[c].max()) + 1 for c in ("row", "col", "plane")]
-        image = np.zeros(shape, kind)
-        image[g["row"], g["col"], g["plane"]] = g["value"]
-        return pd.DataFrame({"file_id": [int(g["image_id"].iloc[0])], "content": [write([image_page(image, **options)], options.get("order", "<"))]})
+    def number(reverse: bool) -> Column:
+        total = None
+        for i in range(size):
+            one = F.conv(F.hex(F.substring(content, at + 1 + (size - 1 - i if reverse else i), 1)), 16, 10).cast("long")
+            total = one if total is None else total * 256 + one
+        return total
 
-    return pixels.select("image_id", "row", "col", "plane", "value").groupBy("image_id").applyInPandas(run, "file_id long, content binary")
+    if isinstance(little, bool):
+        return number(little)
+    return F.when(little, number(True)).otherwise(number(False))
 
 
-def byte_at(content: Column, at: int, size: int, little: bool = True) -> Column:
-    """An unsigned number of up to 7 bytes at a place of a binary column, in the JVM."""
-    total = None
-    for i in range(size):
-        one = F.conv(F.hex(F.substring(content, at + 1 + (i if not little else size - 1 - i), 1)), 16, 10).cast("long")
-        total = one if total is None else total * 256 + one
-    return total
+def whole(payload: Column, type_: Column, big_endian: Column) -> Column:
+    """The first number of a payload of bytes, shorts or longs, in the JVM; null for other types and for no bytes."""
+    by_size = F.when(type_ == 1, byte_at(payload, 0, 1)).when(type_ == 3, byte_at(payload, 0, 2, ~big_endian)).when(type_.isin(4, 13), byte_at(payload, 0, 4, ~big_endian))
+    return F.when(F.octet_length(payload) > 0, by_size)
 
 
 def tags(entries_: DataFrame, wanted: dict[str, int]) -> DataFrame:
@@ -374,7 +538,38 @@ def tags(entries_: DataFrame, wanted: dict[str, int]) -> DataFrame:
     return entries_.where(F.col("tag").isin(list(wanted.values()))).groupBy("file_id", "ifd_idx").agg(*picked)
 
 
+def numbers(entries_: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """tags(), as whole numbers of the JVM."""
+    value = whole(F.col("payload"), F.col("type"), F.col("big_endian"))
+    picked = [F.max_by("_value", F.when(F.col("tag") == t, F.col("entry_ord"))).alias(n) for n, t in wanted.items()]
+    return entries_.where(F.col("tag").isin(list(wanted.values()))).withColumn("_value", value).groupBy("file_id", "ifd_idx").agg(*picked)
+
+
+#: The tag of the oldest reader that can read a file, and the version that this one is as good as (fixed values).
+OLDEST_READER, READER = 50707, (1, 7, 1, 0)
+
+
+def readable(entries_: DataFrame, reader: tuple[int, int, int, int] = READER) -> DataFrame:
+    """file_id, needs (four numbers, null if the file doesn't tell) and readable: whether a reader of this version may read it."""
+    needs = F.array(*[F.conv(F.hex(F.substring("payload", i, 1)), 16, 10).cast("int") for i in range(1, 5)])
+    found = entries_.where("error is null").groupBy("file_id").agg(F.max_by("payload", F.when((F.col("tag") == OLDEST_READER) & (F.col("ifd_idx") == 0) & (F.octet_length("payload") >= 4), F.col("entry_ord"))).alias("payload"))
+    out = found.select("file_id", F.when(F.col("payload").isNotNull(), needs).alias("needs"))
+    return out.withColumn("readable", F.coalesce(F.col("needs") <= F.array(*[F.lit(v) for v in reader]), F.lit(True)))
+
+
 def summary(entries_: DataFrame) -> DataFrame:
-    """Per file: IFDs, entries and IFDs of each role."""
-    one = entries_.where("error is null").groupBy("file_id", "ifd_idx").agg(F.first("role").alias("role"), F.count(F.lit(1)).alias("n"))
-    return one.groupBy("file_id").agg(F.count(F.lit(1)).alias("ifds"), F.sum("n").alias("entries"), F.array_sort(F.collect_list("role")).alias("roles"))
+    """Per file: byte order, format, numbers of IFDs, top-level ones and entries, the roles, the first main image (index,
+    size, compression, photometric, entries) and the indexes of previews and masks."""
+    fine = entries_.where("error is null")
+    wanted = {"width": 256, "height": 257, "compression": 259, "photometric": 262}
+    one = fine.groupBy("file_id", "ifd_idx").agg(F.first("role").alias("role"), F.first("parent_idx").alias("parent_idx"), F.count(F.lit(1)).alias("n"), F.first("big_endian").alias("big_endian"), F.first("big_tiff").alias("big_tiff"))
+    one = one.join(numbers(fine, wanted), ["file_id", "ifd_idx"], "left")
+    main = [F.min_by(n, F.when(F.col("role") == "main", F.col("ifd_idx"))).alias(n) for n in wanted]
+
+    def of(role: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("ifd_idx"))))
+
+    return one.groupBy("file_id").agg(
+        F.when(F.first("big_endian"), "MM").otherwise("II").alias("byte_order"), F.when(F.first("big_tiff"), 64).otherwise(32).alias("offset_bits"), F.count(F.lit(1)).alias("ifds"), F.count(F.when(F.col("parent_idx").isNull(), 1)).alias("top_level"), F.sum("n").alias("entries"), F.array_sort(F.collect_list("role")).alias("roles"),
+        F.min(F.when(F.col("role") == "main", F.col("ifd_idx"))).alias("main"), *main, F.min_by("n", F.when(F.col("role") == "main", F.col("ifd_idx"))).alias("main_entries"), of("preview").alias("previews"), of("mask").alias("masks"),
+    )

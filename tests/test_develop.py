@@ -63,7 +63,7 @@ def test_metadata_beyond_the_first_bytes_counts(spark):
 
 def test_samples_make_no_group(spark):
     (_, x), (_, y), (_, z) = raw(seed=2), raw(seed=3), raw(12, 10)
-    found = {r.file_id: r["_meta"] for r in D.settings(rows(spark, x, y, z)).collect()}
+    found = {r.file_id: r.plan for r in D.settings(rows(spark, x, y, z)).collect()}
     assert found[0] == found[1] != found[2]
 
 
