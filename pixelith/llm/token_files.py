@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelith.llm.common import arrow_limits, shared_dir
+from pixelith.llm.common import arrow_limits, scratch, shared_dir, stored
 from pixelith.llm.token_counts import LATER, SPACE, byte_symbols
 
 #: Ids in a block, unless one document has more.
@@ -137,34 +137,61 @@ BLOCKS = T.StructType([
 ])
 
 
-def ranges(df: DataFrame, key: str, rows: int) -> list:
-    """Splitters that cut df by key into ranges of about `rows` rows; from a bounded quantile sketch."""
+#: Ranges that the quantile sketch cuts, at most.
+MOST_RANGES = 20_000
+
+
+def ranges(df: DataFrame, key: str, size: Column, rows: int, most: int) -> list:
+    """Splitters that cut df by key into ranges of about `most` bytes, or of 1 / MOST_RANGES of all.
+
+    A quantile sketch of the keys gives ranges of about `rows` rows, and one aggregate the bytes of each; neighbours
+    are then put together. What comes to the driver is a number for each of MOST_RANGES ranges at most.
+    """
     n = df.count()
-    parts = max(1, min(20_000, -(-n // rows)))
+    parts = max(1, min(MOST_RANGES, -(-n // rows)))
     if parts == 1:
         return []
     cuts = df.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
-
-
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "text", end_id: int = 0, range_rows: int = 4000) -> None:
+    cuts = sorted({int(c) for c in cuts})
+    sums = in_ranges(df.select(F.col(key).cast("long").alias(key), size.cast("long").alias("_size")), key, cuts).groupBy("part").agg(F.sum("_size").alias("n")).collect()
+    bytes_of = {r.part: r.n for r in sums}
+    most = max(most, sum(bytes_of.values()) // MOST_RANGES)
+    out, held = [], 0
+    for part, cut in enumerate(cuts):
+        held += bytes_of.get(part, 0)
+        if held + bytes_of.get(part + 1, 0) > most:
+            out.append(cut)
+            held = 0
+    return out
+
+
+def in_ranges(df: DataFrame, key: str, cuts: list) -> DataFrame:
+    """Adds part, the number of splitters up to the key; a null key comes before all."""
+    if not cuts:
+        return df.withColumn("part", F.lit(0))
+    splits = [-float("inf"), *map(float, cuts), float("inf")]
+    work = df.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-float("inf"))))
+    return Bucketizer(splits=splits, inputCol="_at", outputCol="_part").transform(work).withColumn("part", F.col("_part").cast("int")).drop("_at", "_part")
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "text", end_id: int = 0, range_rows: int = 2000, range_bytes: int = 16 << 20) -> None:
     """Encodes every text, appends end_id to each, and writes the ids in ascending doc_id order to path.
 
-    Two written steps. First each range of doc_ids (splitters from a quantile sketch) is encoded and packed into
-    blocks numbered within the range; then the blocks' starts come from a running sum over the ranges, whose
-    totals are as many as there are ranges, and over the blocks within each range. A null text has the end id only.
-    Rows with a null doc_id sort first. Ties of doc_id follow the text.
+    Two written steps. First each range of doc_ids, about range_bytes of text or one doc_id's, is encoded by a task of
+    its own, which streams it, and packed into blocks numbered within the range; then the blocks' starts come from a
+    running sum over the ranges, whose totals are as many as there are ranges, and over the blocks within each range. A
+    null text has the end id only. Rows with a null doc_id sort first. Ties of doc_id follow the text; repeated rows
+    stay. An empty table gives an empty file set.
     """
+    with scratch(docs.sparkSession):
+        _write_ids(docs, tokenizer_path, path, text, end_id, range_rows, range_bytes)
+
+
+def _write_ids(docs: DataFrame, tokenizer_path: str, path: str, text: str, end_id: int, range_rows: int, range_bytes: int) -> None:
     spark = docs.sparkSession
     arrow_limits(spark)
-    cuts = ranges(docs, "doc_id", range_rows)
-    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))).alias("_key"))
-    if cuts:
-        splits = [-float("inf"), *map(float, cuts), float("inf")]
-        work = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").transform(work).withColumn("part", F.col("_part").cast("int"))
-    else:
-        work = work.withColumn("part", F.lit(0))
-    work = work.select("part", "doc_id", "text")
+    cuts = ranges(docs, "doc_id", F.coalesce(F.octet_length(text), F.lit(0)) + 1, range_rows, range_bytes)
+    work = in_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", cuts).select("part", "doc_id", "text")
     bits = width(encoder(tokenizer_path).vocabulary)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("sum_before", T.LongType()), *BLOCKS.fields])
 
@@ -203,17 +230,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, text: str = "t
 
     ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("sum_before", pa.int64()), ("block_start", pa.int64()), ("n_ids", pa.int32()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("packed", pa.binary())])
     n = len(cuts) + 1
-    coded = work.repartition(n, "part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, schema)
-    first = f"{path}-parts"
-    coded.write.option("compression", "zstd").parquet(first)
-    blocks = spark.read.schema(schema).parquet(first)
+    blocks = stored(work.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, schema), "token-ranges")
     sums = blocks.groupBy("part").agg(F.sum(F.col("n_ids").cast("long")).alias("n"))
     before = sums.select(F.col("part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     # one row for each range, 20,000 at most: a bounded broadcast
     done = blocks.join(F.broadcast(before), "part").withColumn("block_start", F.col("part_start") + F.col("sum_before"))
     done.select(*BLOCKS.names).write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(first)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +254,8 @@ def slice_ids(spark: SparkSession, path: str, start: int, count: int) -> np.ndar
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:
-    """Per document of a file set: doc_id, start, n_tokens, ids_crc32, unpacked from the blocks."""
+    """Per document of a file set: doc_id, start, n_tokens, ids_crc32, unpacked from the blocks, in no order. A document
+    that was written more than once comes as often; an empty file set gives an empty table."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +271,8 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Writes the ids of docs to the shared folder, reads the files back and returns documents_of() them."""
+    """Writes the ids of docs to the shared folder, reads the files back and returns documents_of() them. The files stay
+    there; see write_ids() for nulls, ties, repeated rows and empty tables."""
     path = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_ids(docs, tokenizer_path, path, **options)
     return documents_of(read_ids(docs.sparkSession, path))
