@@ -8,7 +8,7 @@
 3. ROWS coordinates make a band. Documents that agree in a band share a bucket: at similarity 0.8 all bands differ
    with a chance of (1 - 0.8 ** 5) ** 40 < 2e-7.
 4. Each member of a bucket is held against the bucket's smallest one, the hub, by intersecting the full sets; hubs
-   with many members are salted. Components of the links found so far follow. Then the members outside a bucket's
+   with many members meet them in many tasks. Components of the links found so far follow. Then the members outside a bucket's
    largest component are held against HUBS members of it, and the components grow again.
 5. Buckets whose members are then in several components are settled exactly. The largest component's members fall
    into blocks, so do the others; each block of others meets each block in one task, which compares all pairs of
@@ -31,8 +31,9 @@ from pixelith.llm.graph import components
 
 BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
-#: Members of a hub that one task verifies; members of the largest component tried in step 4; members in a block.
-HUB_TASK, HUBS, BLOCK = 500, 8, 400
+#: Members that a hub meets in a task, for each of its BANDS buckets; members of the largest component tried in step 4;
+#: members in a block.
+HUB_TASK, HUBS, BLOCK = 25, 8, 400
 #: Bands in a range; members of a bucket in one batch that make a crowd.
 RANGE, CROWD = 250_000, 3
 #: The bytes between words, and A-Z to a-z (fixed values).
@@ -216,11 +217,15 @@ def in_company(reps: DataFrame, parts: int) -> DataFrame:
 
 
 def verify_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (node, hub) that are linked, as (a, b). A hub with many members meets them in several tasks."""
-    size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_TASK).cast("int").alias("salts"))
-    members = pairs.join(size, "hub").select("node", "hub", F.expr("pmod(xxhash64(node), salts)").cast("int").alias("salt"))
-    members = members.join(texts, "node").select("hub", "salt", "node", "text")
-    hubs = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    """The pairs (node, hub, n) that are linked, as (a, b); n: about how many members the hub meets where the pair is from.
+
+    A hub meets about HUB_TASK members of each such place in a task, so BANDS * HUB_TASK at most. A pair tells its task by itself, so no step gathers a hub's
+    pairs, and the hub's text goes to the tasks that its pairs have told.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / HUB_TASK)).cast("int")
+    salted = pairs.select("node", "hub", salt.alias("salt"))
+    members = salted.join(texts, "node").select("hub", "salt", "node", "text")
+    hubs = salted.select("hub", "salt").distinct().join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
     hubs = hubs.select(F.col("hub").alias("h"), F.col("salt").alias("s"), "hub_text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -311,7 +316,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     buckets = cells.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who"))
     buckets = stored(buckets.groupBy("hub", "n", "who").agg(F.min("bucket").alias("bucket")), "buckets")  # equal buckets once
     shared = stored(cells.join(buckets.select("bucket", "hub", "n"), "bucket"), "shared")
-    pairs = stored(shared.where("node <> hub").select("node", "hub").distinct(), "pairs")
+    pairs = stored(shared.where("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("n")), "pairs")
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     texts = stored(texts_of(docs, nodes, text), "texts")
     released(docs.sparkSession)
@@ -327,8 +332,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
 
     tagged, open_ = tag(found)
     if not open_.isEmpty():
-        others = tagged.join(open_.select(F.col("bucket").alias("_b"), "main", "hubs"), F.col("bucket") == F.col("_b")).where("root <> main")
-        pairs = stored(others.select("node", F.explode("hubs").alias("hub")).distinct(), "pairs")
+        others = tagged.join(open_.select(F.col("bucket").alias("_b"), "main", "hubs", F.col("outside").alias("n")), F.col("bucket") == F.col("_b")).where("root <> main")
+        pairs = stored(others.select("node", F.explode("hubs").alias("hub"), "n").groupBy("node", "hub").agg(F.max("n").alias("n")), "pairs")
         links = stored(links.unionByName(verify_stars(pairs, texts, shingle, percent)), "links")
         found = components(links)
         released(docs.sparkSession)
