@@ -27,6 +27,8 @@ from pixelith.llm.common import hash_prefix, scratch, spare, stored
 
 #: The largest sources, whose numbers are broadcast; rows of the others get theirs by a shuffled join. All are scheduled alike.
 MOST_SOURCES = 256
+#: Bytes of a block.
+BLOCK_BYTES = 1 << 18
 
 
 def exact(weights: list[float]) -> list[int]:
@@ -113,7 +115,7 @@ def numbered(rows: DataFrame, names: list[str | None]) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, block_bytes: int = 1 << 18, source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES, source: str = "source", text: str = "text") -> DataFrame:
     """Per row: doc_id, source, size (UTF-8 bytes + 1), block, slot and offset (bytes of the source before the row).
 
     In order of (slot, offset) the rows run through the sources at their target weights, by bytes, in blocks of

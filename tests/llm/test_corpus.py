@@ -380,6 +380,28 @@ def test_a_hot_cell_is_split(spark, monkeypatch):
     assert len(got) == 40 and hit >= 36
 
 
+# --- SQL ---
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, duck, name):
+    got, want = queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) == len(want)
+    a, b = (x[columns].sort_values(columns, ignore_index=True).astype(str) for x in (got, want))
+    assert (a == b).all(axis=None)
+
+
+def test_mixing_against_sql_with_many_blocks(spark, duck):
+    """Small blocks, so that sources end one after the other while others go on."""
+    from pixelith.llm import oracles
+
+    got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), block_bytes=5000).collect()
+    want = {r[0]: r for r in duck.sql("SELECT doc_id, slot, \"offset\", block FROM (" + oracles.mixing(5000, 256) + ")").fetchall()}
+    assert len(got) == len(want) and max(r.slot for r in got) > 100
+    assert all(want[r.doc_id] == (r.doc_id, r.slot, r.offset, r.block) for r in got)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
