@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -297,6 +298,20 @@ def picture(px: DataFrame, meta: Meta, bounds: tuple[int, int, int, int], shots:
     return both.select("image_id", "row", "col", *[P.on_white(F.col(c), F.coalesce("_alpha", F.lit(most)), most).alias(c) for c in "rgb"])
 
 
+#: What kept() has cached last.
+_KEPT: list[DataFrame] = []
+
+
+def kept(known: DataFrame) -> DataFrame:
+    """known, cached: some numbers for each file, read once for the groups, and by each group's plan. Spark takes readings of
+    one folder at different times for the same, so a mark tells them apart; the cache of the call before is given up, and
+    what still needs it reads its files again."""
+    for old in _KEPT:
+        old.unpersist()
+    _KEPT[:] = [known.withColumn("_read", F.lit(uuid.uuid4().hex)).persist()]
+    return _KEPT[0]
+
+
 def develop(files: DataFrame, stage: int | None = None, *, on_error: str = "raise", **options) -> DataFrame:
     """The samples after a stage (1 to 3), or the picture, of (file_id, content).
 
@@ -306,7 +321,7 @@ def develop(files: DataFrame, stage: int | None = None, *, on_error: str = "rais
     """
     reachable(files.sparkSession)
     small_methods(files.sparkSession)
-    known = settings(files).persist()  # some numbers for each file; read once for the groups, and by each group's plan
+    known = kept(settings(files))
     if on_error == "raise":
         wrong = known.where("error is not null").orderBy("file_id").select("kind", "error").first()
         if wrong:
