@@ -14,6 +14,11 @@
    into blocks, so do the others; each block of others meets each block in one task, which compares all pairs of
    different components. Pairs inside the largest component need no look, so that most buckets cost little more than
    their members. No candidate pair is left out, no task holds more than two blocks, and links alone are emitted.
+6. A bucket of more than MANY members, such as pages of one template that differ in a fifth of their words, would cost
+   the square of its blocks. It falls into finer ones first: its shingles that more than RARE members have are the
+   template's. Two members that are linked share a shingle beyond these, which is then among the first of each by hash,
+   and meet in that shingle's bucket; or they share the template's alone, and then it makes up so much of both, and
+   still more of one of them, that the others need no look. This, too, leaves no candidate pair out.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ BANDS = BINS // ROWS
 HUB_TASK, HUBS, BLOCK = 25, 8, 400
 #: Bands in a range; members of a bucket in one batch that make a crowd.
 RANGE, CROWD = 250_000, 3
+#: Members from which on a bucket falls into finer ones; members that have a shingle, from which on it is the template's.
+MANY, RARE = 8 * BLOCK, BLOCK // 2
 #: The bytes between words, and A-Z to a-z (fixed values).
 GAP = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
@@ -291,6 +298,53 @@ def verify_blocks(tagged: DataFrame, buckets: DataFrame, texts: DataFrame, k: in
     return dealt.groupBy("bucket", "kind", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def finer(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(bucket, node, root) of the finer buckets of (bucket, node, root, members); those that hold no pair to look at are left
+    out. A bucket's members are dealt to tasks of about BLOCK."""
+    salts = F.ceil(F.col("members") / BLOCK).cast("int")
+    salted = rows.select("bucket", "node", "root", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")).join(texts, "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_in(batch.column("text"), k)
+            if not sets:
+                continue
+            x, b = np.concatenate(sets).view(np.int64), np.repeat(batch.column("bucket").to_numpy(), [len(s) for s in sets])
+            order = np.lexsort((x, b))
+            x, b = x[order], b[order]
+            at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (b[1:] != b[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(x[at]), pa.array(np.diff(np.append(at, len(x))))], names=["bucket", "x", "n"])
+
+    often = salted.select("bucket", "text").mapInArrow(count, "bucket long, x long, n long").groupBy("bucket", "x").agg(F.sum("n").alias("n")).where(F.col("n") > RARE)
+    # a bucket's template: its shingles are no more than those of all its members by RARE
+    template = often.groupBy("bucket").agg(F.collect_list("x").alias("xs")).join(rows.groupBy("bucket").agg(F.max(salts).alias("salts")), "bucket")
+    template = template.select(F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), "xs")
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, int, int, bool]] = []
+        if left.num_rows:
+            common = np.sort(right.column("xs")[0].values.to_numpy().view(np.uint64)) if right.num_rows else np.zeros(0, np.uint64)
+            here = np.uint64(left.column("bucket")[0].as_py() & (2**64 - 1))
+            for node, root, s in zip(left.column("node").to_pylist(), left.column("root").to_pylist(), sets_in(left.column("text"), k), strict=True):
+                n = len(s)
+                own = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s] if len(common) else s
+                with np.errstate(over="ignore"):
+                    found.append((mixed(own[: n + percent * -n // 100 + 1] ^ mixed(here[None]), 3), node, root, True))
+                    shared = n - len(own)
+                    if 100 * shared >= percent * n:
+                        found.append((mixed(here[None], 4), node, root, (100 + percent) * shared >= 2 * percent * n))
+        sizes = [len(x[0]) for x in found]
+
+        def spread(i: int, kind: pa.DataType) -> pa.Array:
+            return pa.array(np.repeat(np.array([x[i] for x in found]), sizes) if found else [], kind)
+
+        return pa.table({"bucket": pa.array(np.concatenate([x[0] for x in found]).view(np.int64) if found else [], pa.int64()), "node": spread(1, pa.int64()), "root": spread(2, pa.int64()), "light": spread(3, pa.bool_())})
+
+    dealt = stored(salted.groupBy("bucket", "salt").cogroup(template.groupBy("b", "s")).applyInArrow(deal, "bucket long, node long, root long, light boolean"), "finer")
+    worth = dealt.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("light").alias("light")).where("lo <> hi and light")
+    return dealt.select("bucket", "node", "root").join(worth.select("bucket"), "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -339,7 +393,13 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
         released(docs.sparkSession)
         tagged, open_ = tag(found)
     if not open_.isEmpty():
-        more = stored(verify_blocks(tagged, open_, texts, shingle, percent), "links")
+        many = F.col("inside") + F.col("outside") > MANY
+        more = stored(verify_blocks(tagged, open_.where(~many), texts, shingle, percent), "links")
+        large = open_.where(many).select(F.col("bucket").alias("_b"), (F.col("inside") + F.col("outside")).alias("members"))
+        if not large.isEmpty():
+            rows_ = stored(tagged.join(large, F.col("bucket") == F.col("_b")).select("bucket", "node", "root", "members"), "large")
+            fine = stored(finer(rows_, texts, shingle, percent), "finer")
+            more = stored(more.unionByName(verify_blocks(fine, stored(largest(fine), "open"), texts, shingle, percent)), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
         released(docs.sparkSession)

@@ -24,9 +24,10 @@ from pixelith.llm.common import hash_prefix, scratch, stored
 SPLIT = 1
 #: Groups in a range, and ranges whose bins are packed together.
 RANGE_GROUPS, RANGES = 50_000, 1000
-#: What counts as a token where no counts are given: a character of a script without spaces, up to six letters or three
-#: digits in a row, any other character that is no white space. About as many as a subword vocabulary makes.
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]{1,6}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]"
+#: What counts as a token where no counts are given: up to six Latin, Greek or Cyrillic letters or three digits in a row, and
+#: any other character that is no white space, so each one of scripts without spaces. About as many as a subword
+#: vocabulary makes. Plain ranges, as classes of Unicode properties cost five times as much.
+TOKEN = r"[A-Za-z\u00C0-\u024F\u0370-\u052F]{1,6}|[0-9]{1,3}|[^ \t-\r]"
 #: How much the dimensions weigh in the dot product: bytes, tokens, rows.
 WEIGHTS = np.array([1.0, 0.1, 0.1])
 

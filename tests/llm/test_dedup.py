@@ -77,6 +77,27 @@ def test_blocks_settle_what_stars_leave(spark, monkeypatch):
     assert near(spark, pairs) == brute_components(pairs, 2, 80)
 
 
+@pytest.mark.parametrize("own", [(0, 30), (4, 9)])
+def test_finer_buckets_settle_templates(spark, monkeypatch, own):
+    """Pages of one template with more or fewer words of their own, some of which are near each other in these."""
+    monkeypatch.setattr(near_duplicates, "HUBS", 1)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 10)
+    monkeypatch.setattr(near_duplicates, "MANY", 12)
+    monkeypatch.setattr(near_duplicates, "RARE", 8)
+    calls, finer = [], near_duplicates.finer
+    monkeypatch.setattr(near_duplicates, "finer", lambda *a: calls.append(1) or finer(*a))
+    rnd = random.Random(11)
+    template = [f"t{i}" for i in range(70)]
+    shared = [[f"s{j}_{i}" for i in range(12)] for j in range(6)]
+    out = []
+    for i in range(90):
+        words_ = [f"o{i}_{j}" for j in range(rnd.randint(*own))] + (rnd.choice(shared) if i % 3 == 0 else [])
+        at = rnd.choice((0, 35, 70))
+        out.append(" ".join(template[:at] + words_ + template[at:]))
+    pairs = list(enumerate(out))
+    assert near(spark, pairs) == brute_components(pairs, 2, 80) and calls
+
+
 def test_near_duplicates_edge_cases(spark, docs, empty):
     got = near_duplicates.near_duplicates(docs, shingle=5).collect()
     assert len(got) == docs.count()
