@@ -318,9 +318,13 @@ def do_float(lines: np.ndarray, step: int) -> np.ndarray:
 DECODERS: dict[int, Callable[[bytes, int, str, str], np.ndarray]] = {RAW: decode_raw, DEFLATE: decode_deflate, JPEG: decode_lossless_jpeg}
 
 
+#: What register() has added; tiff.segments() takes these along to the executors.
+REGISTERED: dict[int, Callable[[bytes, int, str, str], np.ndarray]] = {}
+
+
 def register(code: int, decoder: Callable[[bytes, int, str, str], np.ndarray]) -> None:
-    """A decoder for a compression code: (data, samples, type, byte order) -> samples. Call it on the executors, too."""
-    DECODERS[code] = decoder
+    """A decoder for a compression code: (data, samples, type, byte order) -> samples. Plans made afterwards take it along."""
+    REGISTERED[code] = DECODERS[code] = decoder
 
 
 def decode(code: int, data: bytes, lines: int, width: int, planes: int, kind: str, order: str, predictor: int = 1) -> np.ndarray:

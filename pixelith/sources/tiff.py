@@ -431,7 +431,10 @@ def segments(files: DataFrame, role: str = "main") -> DataFrame:
     many.
     """
 
+    own = dict(codecs.REGISTERED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs.DECODERS.update(own)
         for batch in batches:
             for p in batch.to_pylist():
                 error = p["error"]

@@ -127,6 +127,30 @@ def test_opcode_lists():
             O.parse(bad)
 
 
+def test_a_registered_decoder_reaches_the_executors(spark, monkeypatch):
+    monkeypatch.setattr(codecs, "REGISTERED", {})
+    monkeypatch.setattr(codecs, "DECODERS", dict(codecs.DECODERS))
+    codecs.register(codecs.JXL, lambda data, count, kind, order: np.full(count, data[0], kind))
+    page = tiff.image_page(image(4, 4, kind="u1"), extra=[])
+    page.entries = [tiff.entry(259, 3, codecs.JXL) if e.tag == 259 else e for e in page.entries]
+    page.blobs = [bytes([42, 1, 2])]
+    files = spark.createDataFrame([(1, bytearray(tiff.write([page])))], "file_id long, content binary")
+    assert [r.value for r in tiff.samples(files).collect()] == [42.0] * 16
+
+
+def test_more_ifds_than_a_chain_may_have():
+    ten, eleven = (tiff.write([tiff.image_page(image(2, 2)) for _ in range(n)]) for n in (10, 11))
+    assert len(tiff.parse(ten).ifds) == 10 and len(tiff.parse(tiff.rewrite(ten)).ifds) == 10
+    with pytest.raises(tiff.FormatError):
+        tiff.parse(eleven)
+
+
+def test_scalars_of_wrong_type_or_count():
+    for e in (tiff.Entry(254, 4, 0, b""), tiff.entry(254, 5, [(1, 1)]), tiff.entry(254, 4, [0, 1])):
+        with pytest.raises(tiff.FormatError):
+            tiff.Ifd([e]).role("<")
+
+
 def test_entries_of_broken_files(spark):
     files = spark.createDataFrame([(1, bytearray(tiff.write([tiff.image_page(image())]))), (2, bytearray(b"no")), (3, None)], "file_id long, content binary")
     got = tiff.entries(files).groupBy("file_id").count().collect()
