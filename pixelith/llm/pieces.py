@@ -313,7 +313,7 @@ def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", extra: t
     """Per row: the columns `extra`, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode() in one pass;
     with_ids: the ids, too.
 
-    A null text is an empty one: 0 tokens, the digest of nothing. Repeated rows stay. Only the text and the columns
+    A null text is an empty one: 0 tokens, the digest of nothing. Repeated rows stay; an empty table stays empty. Only the text and the columns
     `extra` are read, so others may have any name. No shuffle; a worker holds a slice of a batch, 2 M characters or
     one longer text, and KNOWN_CHUNKS chunks.
     """

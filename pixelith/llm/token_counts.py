@@ -146,7 +146,7 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", limit: int = 2048, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the columns `extra`, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay repeated; other columns are not read,
+    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay repeated, an empty table empty; other columns are not read,
     whatever their names. tokenizer_path is opened on the executors, where the tokenizer files are installed.
     One pass, no shuffle; a worker holds one Arrow batch and at most KNOWN_WORDS words.
     """
