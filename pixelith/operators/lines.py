@@ -151,6 +151,54 @@ def tone_curve(wide: DataFrame, knots: Sequence[tuple[float, float]]) -> DataFra
     return mapped(wide, ["r", "g", "b"], curve_kernel(knots))
 
 
+def hue_kernel(deltas: Sequence[tuple[float, float, float]], divisions: tuple[int, int, int]) -> Kernel:
+    nh, ns, nv = divisions
+    table = np.array(deltas, np.float32)
+
+    def place(x: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lower cell of each position, and how far it is on the way to the next."""
+        low = np.clip(np.floor(x), 0, last).astype(np.int32)
+        return low, (x - low).astype(np.float32)
+
+    def run(*rgb: np.ndarray) -> list[np.ndarray]:
+        r, g, b = (np.maximum(v, np.float32(0)) for v in rgb)
+        value = np.maximum(np.maximum(r, g), b)
+        gap = value - np.minimum(np.minimum(r, g), b)
+        grey = gap <= 0
+        over = np.where(grey, np.float32(1), gap)
+        red = (g - b) / over
+        hue = np.where(r == value, np.where(red < 0, red + 6, red), np.where(g == value, 2 + (b - r) / over, 4 + (r - g) / over))
+        hue = np.where(grey, np.float32(0), hue).astype(np.float32)
+        sat = np.where(grey, np.float32(0), gap / np.where(grey, np.float32(1), value))
+        (h0, fh), (s0, fs) = place(hue * np.float32(0 if nh < 2 else nh / 6), nh - 1), place(sat * np.float32(ns - 1), max(0, ns - 2))
+        h1, s1 = np.where(h0 >= nh - 1, 0, h0 + 1), np.minimum(s0 + 1, ns - 1)
+        planes = [(0, None)]
+        if nv >= 2:
+            v0, fv = place(value * np.float32(nv - 1), nv - 2)
+            planes = [(v0, 1 - fv), (np.minimum(v0 + 1, nv - 1), fv)]
+        total = np.zeros((len(value), 3), np.float32)
+        for v, wv in planes:
+            for h, wh in ((h0, 1 - fh), (h1, fh)):
+                for s, ws in ((s0, 1 - fs), (s1, fs)):
+                    weight = wh * ws if wv is None else wv * wh * ws
+                    total += weight[:, None] * table[(v * nh + h) * ns + s]
+        hue = (hue + total[:, 0] * np.float32(6 / 360)) % np.float32(6)
+        sat, value = np.minimum(sat * total[:, 1], np.float32(1)), np.maximum(value * total[:, 2], np.float32(0))
+        # each channel of a hue is the value, less so much as it lies off the channel's own third of the circle
+        out = []
+        for k in (5, 3, 1):
+            off = (hue + k) % 6
+            out.append(value * (1 - sat * np.clip(np.minimum(off, 4 - off), 0, 1)))
+        return out
+
+    return run
+
+
+def hue_sat(wide: DataFrame, deltas: Sequence[tuple[float, float, float]], divisions: tuple[int, int, int]) -> DataFrame:
+    """Shifts hue and scales saturation and value by a table, as functions.pixels.hue_sat_map() does."""
+    return mapped(wide, ["r", "g", "b"], hue_kernel(deltas, divisions))
+
+
 def tone_kernel(*rgb: np.ndarray) -> Sequence[np.ndarray]:
     lift, toe = np.float32(SHADOW_LIFT), np.float32(TOE)
     y = sum(np.float32(w) * v for w, v in zip(LUMA, rgb, strict=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pixelith.functions import pixels as P
 from pixelith.operators import lines as L
 from pixelith.operators import raster as R
+from pixelith.operators import tone
 from tests.test_raster import pixels
 
 BOUNDS = (0, 0, 70, 21)
@@ -70,6 +71,18 @@ def test_quantize_is_exact_at_every_code(spark):
     assert (got == want).mean() > 0.9995 and np.abs(got - want).max() <= 1
 
 
+@pytest.mark.parametrize("shape", [(6, 4, 1), (5, 3, 3), (1, 2, 1)])
+def test_hue_tables(spark, shape):
+    rng = np.random.default_rng(1)
+    deltas = [(rng.normal(0, 5), *rng.uniform(0.5, 1.5, 2)) for _ in range(shape[0] * shape[1] * shape[2])]
+    rgb = np.concatenate([rng.random((200, 3)), [[0, 0, 0], [1, 1, 1], [-0.1, 0.5, 2.0], [0.5, 0.5, 0.1]]]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rgb)], "id int, r double, g double, b double")
+    want = tone.hue_sat(df, deltas, shape).orderBy("id").toPandas()[["r", "g", "b"]].to_numpy()
+    wide = spark.createDataFrame([(0, 0, *[v.tolist() for v in rgb.T])], "image_id long, row int, r array<float>, g array<float>, b array<float>")
+    got = L.hue_sat(wide, deltas, shape).first()
+    assert np.allclose(np.array([got.r, got.g, got.b]).T, want, atol=2e-5)
+
+
 def test_two_images(spark, raw):
     both = raw.unionByName(raw.withColumn("image_id", F.lit(1).cast("long")))
     wide = L.demosaic(both)
