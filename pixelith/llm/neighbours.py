@@ -30,8 +30,8 @@ from pixelith.llm.common import arrow_limits, mixed, scratch, stored
 
 #: Vectors that fit an index (medians, slopes, the neighbours' distance): the first in order of a hash of vec_id.
 SAMPLE = 4000
-#: Vectors in a block, and queries that a block takes at once.
-BLOCK, QUERIES = 4000, 256
+#: Vectors in a block, 4 MB of them at 64 dimensions, and queries that a block takes at once. Larger blocks need fewer copies of queries.
+BLOCK, QUERIES = 16_000, 256
 #: Directions of a table; leading ones, by which blocks are told apart: as many as the blocks need, no more than this.
 DIRECTIONS, LEADING = 24, 12
 #: Of the sample's k-th distances: the part from which pairs are fitted, and the distance that the index is made for.

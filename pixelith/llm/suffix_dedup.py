@@ -375,13 +375,17 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
         at = bucket // fine
         return [bytes(cuts[i]).ljust(length, b"\0") for i in (at - 1, at) if 0 <= i < len(cuts)]
 
+    def range_of(h: np.ndarray) -> np.ndarray:
+        """The bucket of each gram hash, of 48 bits: ascending with it."""
+        return ((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
     def say_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one, more in loaded(batch):
                 h, _ = one.grams()
-                bounds = [0, *np.searchsorted(h, np.array([(b << 48) // buckets for b in range(1, buckets)], np.uint64)).tolist(), len(h)]
-                raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                parts = [(b, x, y) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+                raw, which = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], range_of(h)
+                at = np.flatnonzero(np.diff(which, prepend=-1, append=-1)).tolist() if len(h) else []
+                parts = [(int(which[x]), x, y) for x, y in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int32()), "chunk": pa.array([more["chunk"].as_py()] * len(parts), pa.int64()), "grams": pa.array([raw[x:y].tobytes() for _, x, y in parts], pa.binary())})
 
     def common(group: pa.Table) -> pa.Table:
@@ -402,9 +406,9 @@ def dedup(docs: DataFrame, *, length: int = 50, text: str = "text", key: str = "
     def shared_of(one: Chunk, answers) -> np.ndarray:
         h, own = one.grams()
         shared = own.copy()
-        bounds = [0, *np.searchsorted(h, np.array([(b << 48) // buckets for b in range(1, buckets)], np.uint64)).tolist(), len(h)]
+        which = range_of(h)
         for a in answers.as_py() or []:
-            x, y = bounds[a["bucket"]], bounds[a["bucket"] + 1]
+            x, y = np.searchsorted(which, [a["bucket"], a["bucket"] + 1])
             shared[x:y] |= np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=y - x).astype(bool)
         return shared
 
