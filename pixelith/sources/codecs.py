@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -95,6 +96,12 @@ def lookup(table: dict[tuple[int, int], int]) -> Lookup:
     return Lookup(symbol, size, np.where(size > 0, size + symbol % 16, 0).astype(np.uint8))
 
 
+@lru_cache(64)
+def table_of(counts: bytes, symbols: bytes) -> Lookup:
+    """lookup() of a code, kept: the tiles of an image mostly share theirs."""
+    return lookup(code_table(counts, symbols))
+
+
 def code_places(scan: np.ndarray, tables: list[Lookup], count: int) -> np.ndarray:
     """The bit at which each of `count` codes begins; tables take turns. After the scan come zeros.
 
@@ -221,7 +228,7 @@ def decode_lossless_jpeg(data: bytes, count: int | None = None, kind: str = "u2"
                 n = sum(body[1:17])
                 if len(body) < 17 + n:
                     raise CodecError("cut code table")
-                tables[body[0] & 15] = lookup(code_table(body[1:17], body[17 : 17 + n]))
+                tables[body[0] & 15] = table_of(bytes(body[1:17]), bytes(body[17 : 17 + n]))
                 body = body[17 + n :]
         elif marker == 0xC3:
             if len(body) < 6:
