@@ -112,7 +112,8 @@ def demosaic_sql(pattern: list[int]) -> str:
 
 
 def demosaiced(spark: SparkSession, sf: str, pattern=(0, 1, 1, 2)) -> DataFrame:
-    return R.demosaic(dyadic_lines(spark, sf), pattern)
+    """The last image of a table may have fewer lines than the others."""
+    return R.demosaic(dyadic_lines(spark, sf), pattern, (HEIGHT, WIDTH))
 
 
 for _name, _pattern in {"demosaic_bilinear": [0, 1, 1, 2], "demosaic_grbg": [1, 0, 2, 1], "demosaic_bggr": [2, 1, 1, 0]}.items():
