@@ -9,6 +9,7 @@ from tests.test_catalog import same
 
 NAMES = [
     "demosaic_bggr",
+    "demosaic_grbg",
 ]
 
 
