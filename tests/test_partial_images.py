@@ -10,6 +10,7 @@ from tests.test_catalog import same
 NAMES = [
     "demosaic_bggr",
     "demosaic_grbg",
+    "demosaic_bilinear",
 ]
 
 
