@@ -11,6 +11,7 @@ NAMES = [
     "demosaic_bggr",
     "demosaic_grbg",
     "demosaic_bilinear",
+    "pipeline_render",
 ]
 
 
