@@ -12,6 +12,7 @@ NAMES = [
     "demosaic_grbg",
     "demosaic_bilinear",
     "pipeline_render",
+    "render_stats",
 ]
 
 
