@@ -13,6 +13,7 @@ NAMES = [
     "demosaic_bilinear",
     "pipeline_render",
     "render_stats",
+    "rgb8_tiff_roundtrip",
 ]
 
 
