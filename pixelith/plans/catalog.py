@@ -470,7 +470,7 @@ def _stored_line(e: str, size: int, k: int) -> str:
 
 @query(WITH + MOSAIC + f', dst AS (SELECT image_id, "row", col FROM rb1) SELECT d.image_id, d."row", d.col, CAST(s.value AS BIGINT) AS v FROM dst d JOIN rb1 s ON s.image_id = d.image_id AND s."row" = {_stored_line("d." + ROW, HEIGHT, 3)} AND s.col = {_stored_line("d.col", WIDTH, 5)}')
 def row_col_deinterleave(spark, sf):
-    return R.deinterleave(B.mosaic_pixels(spark, sf), 3, 5, HEIGHT, WIDTH).select(*AT, F.col("value").cast("long").alias("v"))
+    return R.deinterleave_lines(B.mosaic_lines(spark, sf), 3, 5, HEIGHT, WIDTH).select(*AT, F.col("value").cast("long").alias("v"))
 
 
 @query('SELECT p_partkey, CAST(r * 3 + c AS INT) AS tile, CAST(r * 40 AS INT) AS top, CAST(c * 24 AS INT) AS "left", CAST(least((r + 1) * 40, 100) AS INT) AS bottom, CAST(least((c + 1) * 24, 64) AS INT) AS "right" FROM part, range(3) a(r), range(3) b(c)')

@@ -14,6 +14,7 @@ NAMES = [
     "pipeline_render",
     "render_stats",
     "rgb8_tiff_roundtrip",
+    "row_col_deinterleave",
 ]
 
 
