@@ -76,7 +76,8 @@ def predictor_float(spark, sf):
 
 
 def _files(spark, sf):
-    return tiff.build(B.mosaic_pixels(spark, sf), rows_per_strip=16)
+    """A file for each image, of the size that all have: lines that the table lacks are blank."""
+    return tiff.build(B.mosaic_pixels(spark, sf), size=(B.HEIGHT, B.WIDTH), rows_per_strip=16)
 
 
 @query('WITH n AS (SELECT DISTINCT vec_id // 100 AS file_id FROM embeddings), t AS (SELECT * FROM (VALUES (254, 4, 1), (256, 4, 1), (257, 4, 1), (258, 3, 1), (259, 3, 1), (262, 3, 1), (273, 4, 7), (277, 3, 1), (278, 4, 1), (279, 4, 7), (284, 3, 1), (339, 3, 1)) v(tag, "type", "count")) SELECT file_id, tag, "type", CAST("count" AS BIGINT) AS "count" FROM n, t')

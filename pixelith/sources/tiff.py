@@ -487,16 +487,17 @@ def failures(files: DataFrame, role: str = "main") -> DataFrame:
     return segments(files, role).where("error is not null").groupBy("file_id").agg(F.min("error").alias("error"))
 
 
-def build(pixels: DataFrame, kind: str = "u2", orientation: DataFrame | None = None, **options) -> DataFrame:
+def build(pixels: DataFrame, kind: str = "u2", orientation: DataFrame | None = None, size: tuple[int, int] = (1, 1), **options) -> DataFrame:
     """(file_id, content): a TIFF for each image of image_id, row, col, plane, value. The format bounds an image.
 
     orientation: (image_id, orientation) of the images; codes 2 to 8 are written as a tag, as the pixels are not turned.
+    size: the height and width that an image has at least; samples that the table lacks are 0.
     """
 
     def run(key: tuple[pa.Scalar, ...], lines: pa.Table) -> pa.Table:
         row, plane = lines.column("row").to_numpy(), lines.column("plane").to_numpy()
         cols = [c.values.to_numpy() for c in lines.column("cols")]
-        image = np.zeros((int(row.max()) + 1, max(int(c.max()) for c in cols) + 1, int(plane.max()) + 1), kind)
+        image = np.zeros((max(int(row.max()) + 1, size[0]), max(size[1], *(int(c.max()) + 1 for c in cols)), int(plane.max()) + 1), kind)
         for r, p, c, v in zip(row.tolist(), plane.tolist(), cols, lines.column("vals"), strict=True):
             image[r, c, p] = v.values.to_numpy()
         order = options.get("order", "<")

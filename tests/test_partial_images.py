@@ -15,6 +15,7 @@ NAMES = [
     "render_stats",
     "rgb8_tiff_roundtrip",
     "row_col_deinterleave",
+    "ifd_entries",
 ]
 
 
