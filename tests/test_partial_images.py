@@ -16,6 +16,7 @@ NAMES = [
     "rgb8_tiff_roundtrip",
     "row_col_deinterleave",
     "ifd_entries",
+    "ifd_tags",
 ]
 
 
