@@ -214,7 +214,7 @@ def orientation_tags(spark, sf):
     """The orientation that a stage is written with."""
     px = B.mosaic_pixels(spark, sf)
     turned = px.select("image_id").distinct().withColumn("orientation", (F.col("image_id") % 9).cast("int"))
-    found = tiff.numbers(tiff.entries(tiff.build(px, orientation=turned)), {"orientation": 274, "photometric": 262, "height": 257})
+    found = tiff.numbers(tiff.entries(tiff.build(px, orientation=turned, size=(B.HEIGHT, B.WIDTH))), {"orientation": 274, "photometric": 262, "height": 257})
     return found.select("file_id", "orientation", "photometric", "height")
 
 

@@ -17,6 +17,7 @@ NAMES = [
     "row_col_deinterleave",
     "ifd_entries",
     "ifd_tags",
+    "orientation_tags",
 ]
 
 
