@@ -118,7 +118,8 @@ def warp(pixels: DataFrame, bounds: tuple[int, int, int, int], p: Rectilinear, b
 
     A pixel goes to the band of rows in which its window begins, as the scanlines of that band and the WINDOW - 1 after it
     do. So a task has some scanlines and the pixels that look at them, whatever the size of the image; positions come
-    with the pixels, already worked out.
+    with the pixels, already worked out. Scanlines that the table lacks have no weight; a pixel that sees only such ones
+    has no row, and one whose weights sum to 0 is null.
     """
     t, l, b, r = bounds
     if b - WINDOW - 1 < t or r - WINDOW - 1 < l:
@@ -143,21 +144,24 @@ def warp(pixels: DataFrame, bounds: tuple[int, int, int, int], p: Rectilinear, b
     names = ("image_id", "row", "col", "plane", "value")
 
     def resample(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64() if n == "image_id" else pa.float64() if n == "value" else pa.int32()) for n in names})
         first = key[2].as_py() * BAND
-        image = np.zeros((BAND + WINDOW - 1, r - l))
+        image, there = np.zeros((BAND + WINDOW - 1, r - l)), np.zeros(BAND + WINDOW - 1, bool)
         for row, vals in zip(right.column("line").to_pylist(), right.column("vals"), strict=True):
-            image[row - first] = vals.values.to_numpy()
+            image[row - first], there[row - first] = vals.values.to_numpy(), True
         g = {c: left.column(c).to_numpy() for c in ("r0", "rf", "c0", "cf")}
-        value = np.empty(left.num_rows)
+        value, seen_any = np.empty(left.num_rows), np.empty(left.num_rows, bool)
         for a in range(0, left.num_rows, 1 << 16):
             some = slice(a, a + (1 << 16))
-            wr, wc = axis[g["rf"][some]], axis[g["cf"][some]]
             rows, cols = g["r0"][some][:, None] - first + np.arange(WINDOW), g["c0"][some][:, None] - l + np.arange(WINDOW)
+            wr, wc = axis[g["rf"][some]] * there[rows], axis[g["cf"][some]]
             seen = image[rows[:, :, None], cols[:, None, :]]
-            value[some] = np.einsum("nij,ni,nj->n", seen, wr, wc) / (wr.sum(axis=1) * wc.sum(axis=1))
-        return pa.table({"image_id": left.column("image_id"), "row": left.column("row"), "col": left.column("col"), "plane": left.column("plane"), "value": pa.array(value)})
+            weight = wr.sum(axis=1) * wc.sum(axis=1)
+            value[some] = np.einsum("nij,ni,nj->n", seen, wr, wc) / np.where(weight == 0, np.nan, weight)
+            seen_any[some] = there[rows].any(axis=1)
+        out = pa.table({"image_id": left.column("image_id"), "row": left.column("row"), "col": left.column("col"), "plane": left.column("plane"), "value": pa.array(value, from_pandas=True)})
+        return out if seen_any.all() else out.filter(pa.array(seen_any))
 
     # columns that both sides have from one table need new names, or one side's would be taken for the other's
     lines = lines.select(F.col("image_id").alias("_image"), F.col("plane").alias("_plane"), F.col("band").alias("_band"), F.col("row").alias("line"), "vals")

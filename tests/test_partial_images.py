@@ -18,6 +18,8 @@ NAMES = [
     "ifd_entries",
     "ifd_tags",
     "orientation_tags",
+    "warp_rectilinear",
+    "warp_fisheye",
 ]
 
 
