@@ -19,6 +19,7 @@ NAMES = [
     "ifd_tags",
     "orientation_tags",
     "warp_rectilinear",
+    "warp_rectilinear2",
     "warp_fisheye",
 ]
 
