@@ -1,7 +1,8 @@
 """A training corpus from documents: reject, deduplicate, cut, mix, encode. Part of the subpackage llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet in the
-shared folder and gives what it reads back to the next. All stages but the last return the columns of docs.
+shared folder and gives what it reads back to the next. All stages but the last return the columns of docs. A stage
+begins by letting go of the shuffle files of those before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelith.llm import mixing, near_duplicates, pieces, suffix_dedup, toxicity
-from pixelith.llm.common import scratch, spare, stored, table
+from pixelith.llm.common import released, scratch, spare, stored, table
 from pixelith.llm.queries import held_out
 
 #: Repeated passages are cut from this many bytes on: 50 words have as many, and a spare.
@@ -28,10 +29,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group: five-word shingles, a similarity of 0.8 or more. A null doc_id stays."""
+    """The smallest doc_id of each group: five-word shingles, a similarity of 0.8 or more. A null doc_id stays.
+
+    What is kept grows with docs, so it is never broadcast, however small.
+    """
+    released(spark)
     found = near_duplicates.near_duplicates(docs, shingle=5, percent=80)
     name = spare("_kept", docs.columns)
-    kept = found.where("kept").select(F.col("doc_id").alias(name))
+    kept = found.where("kept").select(F.col("doc_id").alias(name)).hint("merge")
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
@@ -41,6 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes: a document that is made of such passages stays with the text that is left, if need be an empty one.
     A null text stays null.
     """
+    released(spark)
     prefix = spare("_cut_", docs.columns)
     cut = suffix_dedup.dedup(docs, length=PASSAGE, extra=tuple(docs.columns), prefix=prefix)
     changed, kept = F.col(prefix + "n_removed") > 0, F.col(prefix + "kept")
@@ -53,6 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows in mixed order: each source's share of the bytes is its size to the power TEMPERATURE, by blocks. A null
     source is a source; rows of one doc_id share the place of the first; a null text is an empty one; no rows give none."""
+    released(spark)
     return mixing.mixed_documents(docs, temperature=TEMPERATURE)
 
 
@@ -63,6 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone and is that of mix_sources. Sorting by (slot, offset) gives the mixed order wherever the rows are read. A null
     text has no tokens; repeated rows stay; no rows give none.
     """
+    released(spark)
     placed = mixing.mixed_documents(docs.select("doc_id", "source", "text"), place=("slot", "offset"), temperature=TEMPERATURE)
     return pieces.round_trip(placed, public_tokenizers.path("piece_bpe_32k.model"), extra=("slot", "offset", "doc_id", "source"), with_ids=True)
 

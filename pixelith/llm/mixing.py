@@ -161,11 +161,12 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
 
     place: names for slot and offset, which then come before the columns of docs.
 
-    Rows whose doc_id repeats are told apart by position in neither table, so they share the first one's place.
+    Rows whose doc_id repeats are told apart by position in neither table, so they share the first one's place. The places
+    grow with docs, so they are never broadcast, however few.
     """
     at, key = spare("_at", docs.columns), spare("_key", docs.columns)
     order = mix(docs, weights, **options).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "offset")).alias(at))
-    joined = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key)))
+    joined = docs.join(order.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = [F.col(at)[field].alias(name) for field, name in zip(("slot", "offset"), place or ())]
