@@ -589,9 +589,10 @@ def masked_render(spark, sf):
 
 @query(demosaic_sql([0, 1, 1, 2]) + ', u AS (SELECT image_id, "row", col, ' + ", ".join(f"{quantize_sql(x)} AS {x}" for x in "rgb") + ' FROM wide) SELECT * FROM u')
 def rgb8_tiff_roundtrip(spark, sf):
-    """A picture of 8 bits as a TIFF of three planes, and back."""
+    """A picture of 8 bits as a TIFF of three planes, and back. A file is blank where the table has no sample; no rows come of that."""
     px = demosaiced(spark, sf).select(*AT, F.posexplode(F.array(*[P.quantize(F.col(c)) for c in "rgb"])).alias("plane", "value"))
-    return R.to_wide(tiff.samples(tiff.build(px, "u1", rows_per_strip=50))).select(*AT, *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    found = R.those_of(tiff.scanlines(tiff.build(px, "u1", rows_per_strip=50)), B.mosaic_lines(spark, sf))
+    return R.to_wide(R.to_pixels(found)).select(*AT, *[F.col(c).cast("int").alias(c) for c in "rgb"])
 
 
 # --- scalars, geometry, algebra --------------------------------------------------------------------------------
